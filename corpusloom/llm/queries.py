@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leakage, lookalike
-from corpusloom.session import table
+from corpusloom.llm import crosssplit, leakage, lookalike, splits
+from corpusloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,35 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalize(training_texts(spark, d))
 
 
+def split_records(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, src_table, evaluation, split, source, payload): eligible with its present split, and the pool, which is training data."""
+    split = "lower(trim(split))"
+    a = table(spark, d, "eligible").selectExpr("id AS row_id", "'eligible' AS src_table", f"CASE WHEN {split} IN ('dev', 'test') THEN true WHEN {split} = 'train' THEN false END AS evaluation", "split", "source", "payload")
+    b = table(spark, d, "pool").selectExpr("pool_id AS row_id", "'pool' AS src_table", "false AS evaluation", "'train' AS split", "family AS source", "payload")
+    return a.unionByName(b)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = crosssplit.overlaps(split_records(spark, d))
+    return pairs.selectExpr("least(eval_id, train_id) AS id_a", "greatest(eval_id, train_id) AS id_b")
+
+
+def p4_split_report(spark: SparkSession, d: str) -> DataFrame:
+    records = split_records(spark, d)
+    return crosssplit.overlap_report(materialize(crosssplit.overlaps(records), "overlaps"), records)
+
+
+SHARES = {"train": 0.9, "dev": 0.05, "test": 0.05}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.torn(table(spark, d, "eligible"))
+
+
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(table(spark, d, "eligible"), SHARES)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import crosssplit, leakage, lookalike, splits
+from corpusloom.llm import crosssplit, leakage, lookalike, quality, splits
 from corpusloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalize(training_texts(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.unnatural(table(spark, d, "adapted_record"))
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.mark(table(spark, d, "adapted_record"))
+
+
 def split_records(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, src_table, evaluation, split, source, payload): eligible with its present split, and the pool, which is training data."""
     split = "lower(trim(split))"

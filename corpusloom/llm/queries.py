@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import crosssplit, leakage, lookalike, quality, splits
+from corpusloom.llm import crosssplit, leakage, lookalike, mixing, packing, quality, splits, tokens
 from corpusloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,17 @@ def p4_split_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_report(materialize(crosssplit.overlaps(records), "overlaps"), records)
 
 
+def p5_token_cube(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.rollup(tokens.update(table(spark, d, "adapted_record"), tokens.empty_ledger(spark)).cube)
+
+
+def p5_incremental_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The same totals reached in two deliveries: what was loaded by the end of 2024, then everything."""
+    docs = table(spark, d, "adapted_record")
+    early = tokens.update(docs.where("loaded_at < timestamp'2025-01-01 00:00:00'"), tokens.empty_ledger(spark))
+    return tokens.rollup(tokens.update(docs, early).cube)
+
+
 SHARES = {"train": 0.9, "dev": 0.05, "test": 0.05}
 
 
@@ -72,6 +83,22 @@ def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "eligible"), SHARES)
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "containers"))
+
+
+def p7_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packing(spark, d), table(spark, d, "containers"))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(tokens.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(tokens.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import crosssplit, leakage, lookalike, mixing, packing, quality, splits, tokens
+from corpusloom.llm import crosssplit, leakage, lookalike, mixing, packing, quality, splits, subjects, tokens
 from corpusloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(tokens.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))[1]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -60,4 +60,4 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 def row_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes; of a written table it is the file size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

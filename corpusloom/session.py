@@ -27,7 +27,18 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least_bytes: int = 2 << 20) -> DataFrame:
+    """A table whose few unsplittable files would leave most cores idle, dealt out evenly; others as they are.
+
+    Large tables have more splits than cores and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if row_bytes(df) < least_bytes or df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -141,7 +141,11 @@ def corpus_bleu(rows: DataFrame, keys: list[str], order: int = 4) -> DataFrame:
     """Character BLEU of ``rows (keys, id, gold, prediction)`` over each key: clipped n-gram counts, geometric mean, brevity penalty."""
     chars = lambda c: F.split(T.compact(F.coalesce(c, F.lit(""))), "")
     x = rows.select(*keys, "id", chars(F.col("gold")).alias("g"), chars(F.col("prediction")).alias("p"))
-    grams = lambda c: F.flatten(F.array(*(F.transform(T.windows(F.col(c), n), lambda w, n=n: F.struct(F.lit(n).alias("n"), w.alias("w"))) for n in range(1, order + 1))))
+
+    def of_order(c: str, n: int) -> Column:
+        return F.transform(T.windows(F.col(c), n), lambda w: F.struct(F.lit(n).alias("n"), w.alias("w")))
+
+    grams = lambda c: F.flatten(F.array(*(of_order(c, n) for n in range(1, order + 1))))
     count = lambda c, name: x.select(*keys, "id", F.explode(grams(c)).alias("z")).groupBy(*keys, "id", "z.n", "z.w").agg(F.count("*").alias(name))
     both = count("p", "cp").join(count("g", "cg"), [*keys, "id", "n", "w"], "left")
     per = both.groupBy(*keys, "n").agg(F.sum(F.least("cp", F.coalesce("cg", F.lit(0)))).alias("hit"), F.sum("cp").alias("all"))

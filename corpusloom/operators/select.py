@@ -140,7 +140,7 @@ def holdout_groups(groups: list[dict], capacity: dict[str, int], least_train: fl
         while own and taken < capacity[task]:
             g = min(own, key=lambda g: (used[g["book"]], g["n"], g["doc"] or ""))
             own.remove(g)
-            if g["doc"] in held or used[g["book"]] >= book_cap or taken + g["n"] > capacity[task] or taken + g["n"] > (1 - least_train) * total[task]:
+            if g["doc"] in held or used[g["book"]] >= book_cap or taken + g["n"] > capacity[task] or taken + g["n"] > (1 - least_train) * total[task] + 1e-9:
                 continue
             held.add(g["doc"])
             used[g["book"]] += 1

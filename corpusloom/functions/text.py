@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 #: White space of Unicode besides line ends, Han ranges, classical particles, structure signals.
 BLANKS = r"\t\x{0B}\x{0C} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}]"
-ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+HIDDEN = CONTROL[:-1] + r"\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 HANZI = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{323AF}]"
 PARTICLES = "[兮矣焉哉曰於者也其之乎乃遂]"
 MATH = r"\\(frac|sum|prod|int|sqrt|begin)\b|\$\$|[∑∏√∞∫∂∇≈≠≤≥]"
@@ -51,7 +51,7 @@ def lines_normal(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """NFC, unified line ends, no control or zero-width characters, no blanks at line ends or around the text."""
     t = F.regexp_replace(nfc(text), r"\r\n?", "\n")
-    return lines_normal(F.regexp_replace(F.regexp_replace(t, CONTROL, ""), ZERO_WIDTH, ""))
+    return lines_normal(F.regexp_replace(t, HIDDEN + "+", ""))
 
 
 def content_hash(text: Column) -> Column:
@@ -59,20 +59,25 @@ def content_hash(text: Column) -> Column:
     return F.sha2(lines_normal(text), 256)
 
 
+def class_count(text: Column, inside: str) -> Column:
+    """Characters of a class, as the length of what is left without the runs outside it; no array of matches is built."""
+    return F.length(F.regexp_replace(text, f"[^{inside}]+", ""))
+
+
 def hanzi_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(HANZI))
+    return class_count(text, HANZI[1:-1])
 
 
 def latin_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[A-Za-z]"))
+    return class_count(text, "A-Za-z")
 
 
 def digit_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"))
+    return class_count(text, r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨")
 
 
 def printable_ratio(text: Column) -> Column:
-    return 1 - F.try_divide(F.regexp_count(text, F.lit(UNPRINTABLE)), F.length(text))
+    return F.try_divide(F.length(F.regexp_replace(text, UNPRINTABLE + "+", "")), F.length(text))
 
 
 def compact(text: Column) -> Column:

@@ -42,7 +42,7 @@ def clean_and_tag(docs: DataFrame, profiles: dict[str, str], traditional: tuple[
     minimum = F.create_map(*(F.lit(x) for kv in MINIMUM.items() for x in kv))
     least = F.coalesce(minimum[profile[F.col("source")]], F.lit(20))
     text = F.col("text")
-    t = t.withColumns({"char_count": F.length(text), "hanzi_count": T.hanzi_count(text), "latin_count": T.latin_count(text), "digit_count": T.digit_count(text), "printable": F.coalesce(T.printable_ratio(text), F.lit(0.0)), "particles": F.regexp_count(text, F.lit(T.PARTICLES)), "least": least})
+    t = t.withColumns({"char_count": F.length(text), "hanzi_count": T.hanzi_count(text), "latin_count": T.latin_count(text), "digit_count": T.digit_count(text), "printable": F.coalesce(T.printable_ratio(text), F.lit(0.0)), "particles": T.class_count(text, T.PARTICLES[1:-1]), "least": least})
     t = t.withColumns({"language": language(F.col("language"), F.col("hanzi_count"), F.col("latin_count")), "domain": domain(F.col("domain"), F.col("source_path"), text)})
     reason = F.when(F.col("char_count") < F.col("least"), "too_short").when(F.col("printable") < 0.98, "low_printable_ratio").when(F.coalesce(F.col("license"), F.lit("")) == "", "missing_license")
     tags = F.array(

@@ -115,5 +115,20 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_BARE = r"""regexp_replace(regexp_replace(book, '[\p{Cf}\x{34F}\x{FE00}-\x{FE0F}]|[\p{Z}\s\x{85}]', '', 'g'), '[《》〈〉「」『』【】﹁﹂﹃﹄“”‘’"'']', '', 'g')"""
+_NUMBER = "[一二三四五六七八九十百千零〇两兩廿卅0-9０-９]+"
+_CUT = rf"""regexp_replace({_BARE}, '[·•・．.:：,，、—_(（\[-]*(?:第{_NUMBER}[卷巻册冊回章篇部]|[卷巻册冊][之第]?(?:{_NUMBER}[上中下]?|[上中下首末前後后终終]))[)）\]]*$', '')"""
+_NONE = ", ".join("'" + x + "'" for x in splits.NO_BOOK)
+
+P6_SQL = f"""WITH RECURSIVE r AS (SELECT id, min(split) AS split, min(book) AS book, min(doc) AS doc FROM eligible WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT id, split, CASE WHEN {_CUT} = '' THEN {_BARE} ELSE {_CUT} END AS name, CASE WHEN trim(doc) <> '' AND NOT starts_with(trim(doc), 'unresolved:') THEN 'd:' || trim(doc) END AS d FROM r),
+k AS (SELECT id, split, CASE WHEN lower(name) NOT IN ({_NONE}) THEN 'b:' || name END AS b, d FROM n),
+e AS (SELECT DISTINCT b AS u, d AS v FROM k WHERE b IS NOT NULL AND d IS NOT NULL UNION SELECT DISTINCT d, b FROM k WHERE b IS NOT NULL AND d IS NOT NULL),
+w AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, w.root FROM w JOIN e ON w.node = e.u),
+c AS (SELECT node, min(root) AS root FROM w GROUP BY node),
+t AS (SELECT id, split, coalesce(root, b, d, 'r:' || id) AS root FROM k LEFT JOIN c ON c.node = coalesce(b, d))
+SELECT id FROM t WHERE root IN (SELECT root FROM t GROUP BY root HAVING min(split) <> max(split))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_SQL}

@@ -160,3 +160,106 @@ def line_blocks(files: DataFrame, size: int, step: int, least: int, most: int) -
 def token_limit(dataset: Column, task: Column, source: Column) -> Column:
     """Generation budget by dataset and task: corrections get their source's length and a margin, choices little, texts more."""
     return F.when(task.isin("csc", "cgec", "punctuate"), F.least(F.length(source) * 2 + 32, F.lit(1024))).when(task.isin("choice", "classify"), F.lit(32)).when(dataset == "fuxi", F.lit(512)).otherwise(F.lit(256))
+
+
+def edit_programs(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, src, references) of ``rows (id, src, operations)``: every text the edit programs allow, each once, in order.
+
+    ``operations`` is JSON: Switch, a new order of the characters; Delete, positions; Insert, a list of {pos, label};
+    Modify, a list of {pos, label}, where a label is one text or several alternatives and Modify replaces as many
+    characters as its ``size`` says, one by default. A switch comes first; deletions, insertions and changes address
+    positions of the switched text. More than ``most`` alternatives, or broken JSON, give no references.
+    """
+    import itertools
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def expand(src: str, ops: dict) -> list[str]:
+        order = ops.get("Switch")
+        base = [src[i] for i in order] if order else list(src)
+        gone = set(ops.get("Delete") or ())
+        edits = [("insert", e) for e in ops.get("Insert") or ()] + [("modify", e) for e in ops.get("Modify") or ()]
+        options = [e["label"] if isinstance(e["label"], list) else [e["label"]] for _, e in edits]
+        total = 1
+        for o in options:
+            total *= len(o)
+        if total > most:
+            return []
+        out: dict[str, None] = {}
+        for pick in itertools.product(*options):
+            cells = ["" if i in gone else c for i, c in enumerate(base)]
+            after: dict[int, str] = {}
+            for (kind, e), text in zip(edits, pick, strict=True):
+                if kind == "insert":
+                    after[e["pos"]] = after.get(e["pos"], "") + text
+                else:
+                    for i in range(e["pos"], min(e["pos"] + e.get("size", 1), len(cells))):
+                        cells[i] = text if i == e["pos"] else ""
+            out["".join(after.get(-1, "") if i < 0 else cells[i] + after.get(i, "") for i in range(-1, len(cells)))] = None
+        return list(out)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            refs = []
+            for src, ops in zip(x.src, x.operations, strict=True):
+                try:
+                    refs.append(expand(src or "", json.loads(ops or "{}")))
+                except (ValueError, KeyError, IndexError, TypeError):
+                    refs.append([])
+            yield pd.DataFrame({"id": x.id, "src": x.src, "references": refs})
+
+    return rows.select("id", "src", "operations").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, src string, references array<string>")
+
+
+def split_passages(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(id, block, text): paragraphs of ``rows (id, text)`` cut at the last sentence end between ``least`` and ``most`` characters.
+
+    Paragraphs are separated by blank lines, blanks within them are one. A stretch without a sentence end there is
+    cut at ``most``; a rest shorter than ``least`` is left out.
+    """
+    import re
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def cut(text: str) -> list[str]:
+        out = []
+        for p in re.split(r"\n\s*\n", text or ""):
+            p = re.sub(r"\s+", " ", p).strip()
+            while len(p) >= least:
+                if len(p) <= most:
+                    out.append(p)
+                    break
+                ends = [m.end() for m in re.finditer(r"[。！？.!?；;]", p[:most]) if m.end() >= least]
+                at = ends[-1] if ends else most
+                out.append(p[:at].strip())
+                p = p[at:].strip()
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            got = [(i, n, t) for i, text in zip(x.id, x.text, strict=True) for n, t in enumerate(cut(text))]
+            yield pd.DataFrame(got, columns=["id", "block", "text"])
+
+    return rows.select("id", "text").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, block bigint, text string")
+
+
+def script_class(text: Column, traditional: str, simplified: str) -> Column:
+    """traditional, simplified, mixed_or_ambiguous or shared_or_unknown by the characters only one script has, which the caller lists."""
+    t, s = F.translate(text, traditional, "") != text, F.translate(text, simplified, "") != text
+    return F.when(t & s, "mixed_or_ambiguous").when(t, "traditional").when(s, "simplified").when(text.isNotNull(), "shared_or_unknown")
+
+
+def chapter_owners(hits: DataFrame, passages: DataFrame, most: int = 16) -> DataFrame:
+    """(row_id, resolution, chapter_id) of ``hits (row_id, chapter_id, book)`` for ``passages (row_id, book)``.
+
+    resolution: none, unique, same_book (one chapter of several lies in the passage's book), ambiguous, or unresolved
+    where more than ``most`` chapters hold the passage; only unique and same_book name the chapter.
+    """
+    x = passages.select("row_id", F.col("book").alias("own")).join(hits, "row_id", "left")
+    own = F.col("book") == F.col("own")
+    a = x.groupBy("row_id").agg(F.countDistinct("chapter_id").alias("n"), F.countDistinct(F.when(own, F.col("chapter_id"))).alias("m"), F.min("chapter_id").alias("any"), F.min(F.when(own, F.col("chapter_id"))).alias("mine"))
+    r = F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "unique").when(F.col("n") > most, "unresolved").when(F.col("m") == 1, "same_book").otherwise("ambiguous")
+    return a.select("row_id", r.alias("resolution"), F.when(r == "unique", F.col("any")).when(r == "same_book", F.col("mine")).alias("chapter_id"))

@@ -223,3 +223,15 @@ def macro(values: list[float]) -> float:
     """Mean of the finite values, 0 if none."""
     ok = [v for v in values if math.isfinite(v)]
     return sum(ok) / len(ok) if ok else 0.0
+
+
+def homophone_shares(rows: DataFrame, readings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, edits, homophones): single-character corrections from src to tgt, and those between characters of one reading.
+
+    ``readings``: char, reading (several rows for several readings). Rows of unequal length do not count.
+    """
+    x = rows.where(F.length("src") == F.length("tgt")).select(*keys, F.explode(F.arrays_zip(F.split("src", "").alias("a"), F.split("tgt", "").alias("b"))).alias("z")).where("z.a <> z.b").groupBy(*keys, "z.a", "z.b").agg(F.count("*").alias("n"))
+    r = readings.groupBy("char").agg(F.collect_set("reading").alias("r"))
+    x = x.join(r.select(F.col("char").alias("a"), F.col("r").alias("ra")), "a", "left").join(r.select(F.col("char").alias("b"), F.col("r").alias("rb")), "b", "left")
+    same = F.coalesce(F.arrays_overlap("ra", "rb"), F.lit(False))
+    return x.groupBy(*keys).agg(F.sum("n").alias("edits"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("homophones"))

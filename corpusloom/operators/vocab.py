@@ -102,3 +102,9 @@ def violations(table: DataFrame, rules: dict[str, str]) -> DataFrame:
     """(rule, n): rows that break each rule, given as SQL conditions that must hold; a null condition is a violation."""
     x = table.select(*(F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, c in rules.items()))
     return x.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules))).alias("v")).select("v.rule", "v.n")
+
+
+def feature_pairs(index: DataFrame) -> DataFrame:
+    """(char, feature) of a token index (char, ids, mask, field): active positions as ``field:id``, special ids left out."""
+    z = F.filter(F.arrays_zip(F.col("ids").alias("i"), F.col("mask").alias("m")), lambda x: x["m"] & (x["i"] > 1))
+    return index.select("char", "field", F.explode(z).alias("z")).select("char", F.concat_ws(":", "field", F.col("z.i").cast("string")).alias("feature")).distinct()

@@ -350,14 +350,14 @@ def agg4_character_frequencies(spark, d):
     return aggregates.character_frequencies(table(spark, d, "documents"), F.col("char").rlike(T.HANZI))
 
 
-@query("SELECT source, lang, count(*) AS docs, sum(length(text))::BIGINT AS tokens FROM documents GROUP BY source, lang")
+@query("SELECT source, lang, count(*) AS docs, sum(length(coalesce(text, '')))::BIGINT AS tokens FROM documents GROUP BY source, lang")
 def agg5_distribution(spark, d):
-    return aggregates.distribution(table(spark, d, "documents").withColumn("tokens", F.length("text")), ["source", "lang"])
+    return aggregates.distribution(table(spark, d, "documents").withColumn("tokens", F.length(F.coalesce("text", F.lit("")))), ["source", "lang"])
 
 
 @query("SELECT task, count(*) AS rows, count(DISTINCT book) AS books, count(DISTINCT doc) AS docs, round(avg(n), 6) AS mean, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS most FROM (SELECT *, length(payload) AS n FROM eligible) GROUP BY task")
 def agg6_task_report(spark, d):
-    return aggregates.task_report(table(spark, d, "eligible").withColumn("n", F.length("payload")), "n").withColumn("mean", F.round("mean", 6))
+    return aggregates.task_report(table(spark, d, "eligible").withColumn("n", F.length("payload")), "n").withColumns({"mean": F.round("mean", 6), "p95": F.col("p95").cast("bigint"), "p99": F.col("p99").cast("bigint")})
 
 
 @query("SELECT field, value, count(*) AS n FROM (SELECT unnest([{'field': 'source', 'value': source}, {'field': 'split', 'value': split}, {'field': 'task', 'value': task}], recursive := true) FROM eligible) GROUP BY field, value")

@@ -57,6 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/{sc.applicationId}"
+    if getattr(sc, "_corpusloom_dir", None) != own:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._corpusloom_dir = own
+    return own
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a DataFrame to the shared folder and read it back, which cuts its lineage.
 
@@ -64,7 +77,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     parquet it keeps column pruning and statistics for the steps that read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -83,7 +83,7 @@ def acceptance(selected: DataFrame, least_groups: int, least_books: int, most_sh
 def shares(rows: DataFrame, key: str) -> DataFrame:
     """(value, n, share) of a column's values over all rows."""
     n = rows.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
-    return n.join(n.agg(F.sum("n").alias("whole")).hint("broadcast"), F.lit(True)).select("value", "n", (F.col("n") / F.col("whole")).alias("share"))
+    return n.select("value", "n", (F.col("n") / F.lit(max(1, rows.count()))).alias("share"))
 
 
 def field_frequencies(rows: DataFrame, json: str) -> DataFrame:

@@ -153,8 +153,7 @@ def padding(rows: DataFrame, multiple: int, pad: dict) -> DataFrame:
     short = -rows.count() % multiple
     if not short:
         return rows
-    one = rows.sparkSession.createDataFrame([pad], rows.schema)
-    return rows.unionByName(rows.sparkSession.range(short).select(F.lit(True).alias("__x")).join(F.broadcast(one), F.lit(True)).drop("__x"))
+    return rows.unionByName(rows.sparkSession.createDataFrame([pad] * short, rows.schema))
 
 
 def char_scores(docs: DataFrame, chars: DataFrame) -> DataFrame:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import materialize, row_bytes
 
 CHARS, WORDS = 32, 13
-#: An index up to this many bytes is broadcast; a larger one is joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: A written index up to this many rows and compressed bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    from corpusloom.session import row_bytes
-
-    return F.broadcast(df) if row_bytes(df) <= BROADCAST_BYTES else df
+    """An index written once, so that its size is measured and not estimated, and broadcast if it is small."""
+    written = materialize(df, "index")
+    return F.broadcast(written) if row_bytes(written) <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS else written
 
 
 def char_windows(text: Column) -> Column:

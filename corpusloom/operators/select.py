@@ -148,6 +148,53 @@ def holdout_groups(groups: list[dict], capacity: dict[str, int], least_train: fl
     return held
 
 
+def holdout(groups: DataFrame, capacity: dict[str, int], least_train: float = 0.8, book_cap: int = 3) -> set[str]:
+    """What ``holdout_groups`` gives for all ``groups (doc, book, task, n)``, whatever their number.
+
+    A task takes books in the order of their use, and among books used equally often groups by size and name. So
+    it is filled level by level of use, and a level needs few groups: with room for ``r`` rows at most ``r`` groups
+    are taken there, hence a group behind ``r`` others of its book or of its doc that fit is never reached, and of
+    the rest only the first r + 2r(r + 1) are. These are ranked in Spark, and only they are collected.
+    """
+    groups = groups.where(F.col("task").isin(list(capacity)))
+    total: Counter = Counter({r["task"]: r["n"] for r in groups.groupBy("task").agg(F.sum("n").alias("n")).collect()})
+    used: Counter = Counter()
+    held: set[str] = set()
+    for task in sorted(capacity, key=lambda t: (total[t], t)):
+        room = min(capacity[task], int((1 - least_train) * total[task] + 1e-9))
+        for level in range(book_cap):
+            if room < 1:
+                break
+            own = groups.where((F.col("task") == task) & (F.col("n") <= room))
+            if level:
+                own = own.where(F.col("book").isin([b for b, u in used.items() if u == level]))
+            elif used:
+                own = own.where(~F.col("book").isin(list(used)))
+            if held:
+                own = own.where(~F.col("doc").isin(list(held)))
+            own = first_n(own.select("doc", "book", "n"), ["book"], [F.col("n"), F.col("doc")], room + 1)
+            own = first_n(own, ["doc"], [F.col("n"), F.col("book")], room + 1)
+            own = own.orderBy("n", "doc", "book")
+            for most in (8 * room, room + 2 * room * (room + 1)):  # the first few are nearly always enough
+                books, docs, left = set(), set(), room
+                rows = own.limit(most).collect()
+                for g in rows:
+                    if g["n"] > left:
+                        break
+                    if g["book"] not in books and g["doc"] not in docs:
+                        books.add(g["book"])
+                        docs.add(g["doc"])
+                        left -= g["n"]
+                else:
+                    if len(rows) == most:
+                        continue
+                break
+            room = left
+            held |= docs
+            used.update(books)
+    return held
+
+
 def padding(rows: DataFrame, multiple: int, pad: dict) -> DataFrame:
     """``rows`` and as many padding rows as make their number a multiple."""
     short = -rows.count() % multiple

@@ -478,8 +478,7 @@ def sta7_pack_sequences(spark, d):
 @query()
 def sta8_dev_holdout(spark, d):
     g = table(spark, d, "eligible").where("doc is not null and book is not null").groupBy("doc", "book", "task").agg(F.count("*").alias("n"))
-    rows = [r.asDict() for r in sel.bottom_k(g, sel.hash_order(SEED, "doc", "book", "task"), 100_000).collect()]
-    held = sel.holdout_groups(rows, {"c2m": 200, "m2c": 200, "punctuate": 100})
+    held = sel.holdout(materialize(g, "groups"), {"c2m": 200, "m2c": 200, "punctuate": 100})
     return table(spark, d, "eligible").join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(held)], "doc string")), "doc", "left_semi").select("id", "doc")
 
 

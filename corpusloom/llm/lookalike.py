@@ -246,8 +246,10 @@ def _joined(texts: DataFrame, spelled: DataFrame) -> DataFrame:
 
 #: Pairs of string classes with at most this many member pairs are written out in full.
 FULL_PAIRS = 1000
-#: Classes of one look with at most this many different strings are paired each with each.
+#: In a look of more different strings, copies beyond FULL_PAIRS are linked to one other string instead of to each.
 FULL_CLASS = 10
+#: The strings of one look are paired in blocks of about this many, so that a hot look is not one task.
+BLOCK = 256
 
 
 def look_classes(texts: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
@@ -267,20 +269,20 @@ def look_classes(texts: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 def look_pairs(texts: DataFrame, **kw) -> DataFrame:
     """(src_table, id_a, id_b), id_a < id_b: records with non-empty texts of one look that are different strings.
 
-    Sameness of look is an equivalence, so its classes say everything. Pairs are written out in full while a look
-    has at most FULL_CLASS strings and two strings at most FULL_PAIRS pairs of members. Two strings of more members
-    are linked member by member to the other's representative, and in a look of more strings every record is
-    linked to the least record of another string, so the links stay linear in the rows and still connect exactly
-    the records that look the same. Rows repeated under
-    one key count once; null and empty texts have no pair.
+    All pairs of different strings of a look are written, whatever their number, and two strings with at most
+    FULL_PAIRS pairs of members in full. Two strings of more members have many exact copies: their least records
+    are paired, and the copies are linked to the least record of each other string, or of one other string where
+    the look has more than FULL_CLASS strings, so copies stay linear and no link between different strings is
+    lost. Rows repeated under one key count once; null and empty texts have no pair.
     """
     classes, members = look_classes(texts, **kw)
-    a, b = classes.alias("a"), classes.alias("b")
     key = ["src_table", "look"]
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    many = F.col("a.strings") > FULL_CLASS
-    pairs = a.where(~many).join(b, [*on, F.col("a.raw") < F.col("b.raw")])
-    cols = [F.col("a.src_table").alias("src_table"), F.col("a.look").alias("look"), F.col("a.raw").alias("raw_a"), F.col("b.raw").alias("raw_b"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")]
+    blocks = F.ceil(F.col("strings") / BLOCK)
+    a = classes.withColumn("block", F.pmod(F.xxhash64("raw"), blocks)).alias("a")
+    b = classes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*key, "block"]]
+    pairs = a.join(b, [*on, F.col("a.raw") < F.col("b.raw")])
+    cols = [F.col("a.src_table").alias("src_table"), F.col("a.look").alias("look"), F.col("a.raw").alias("raw_a"), F.col("b.raw").alias("raw_b"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), (F.col("a.strings") > FULL_CLASS).alias("many")]
     pairs = pairs.select(cols)
     full = F.col("n_a") * F.col("n_b") <= FULL_PAIRS
 
@@ -289,12 +291,13 @@ def look_pairs(texts: DataFrame, **kw) -> DataFrame:
         return p.join(m, ["src_table", "look", f"raw_{side}"])
 
     whole = with_members(with_members(pairs.where(full), "a"), "b").select("src_table", F.col("m_a").alias("x"), F.col("m_b").alias("y"))
-    by_a = with_members(pairs.where(~full), "a").select("src_table", F.col("m_a").alias("x"), F.col("rep_b").alias("y"))
-    by_b = with_members(pairs.where(~full), "b").select("src_table", F.col("rep_a").alias("x"), F.col("m_b").alias("y"))
-    # looks of many strings: members of the first string link to the least other record, all others to the first's
+    by_a = with_members(pairs.where(~full & ~F.col("many")), "a").select("src_table", F.col("m_a").alias("x"), F.col("rep_b").alias("y"))
+    by_b = with_members(pairs.where(~full & ~F.col("many")), "b").select("src_table", F.col("rep_a").alias("x"), F.col("m_b").alias("y"))
+    reps = pairs.where(~full & F.col("many")).select("src_table", F.col("rep_a").alias("x"), F.col("rep_b").alias("y"))
+    # copies in looks of many strings: those of the first string link to the least other record, all others to the first's
     hot = classes.where(F.col("strings") > FULL_CLASS)
     second = hot.where("rep <> least").groupBy(*key).agg(F.min("rep").alias("second"))
     hot = hot.join(second, key).select(*key, "raw", F.when(F.col("rep") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("y"))
     star = members.join(hot, [*key, "raw"]).select("src_table", F.col("row_id").alias("x"), "y")
-    out = whole.unionByName(by_a).unionByName(by_b).unionByName(star).where("x <> y")
+    out = whole.unionByName(by_a).unionByName(by_b).unionByName(reps).unionByName(star).where("x <> y")
     return out.select("src_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -1,10 +1,12 @@
 """Whole results where a cut once stood: more groups, strings, positions and messages than it let through."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
+from corpusloom.llm import lookalike
 from corpusloom.operators import select as sel
 
 
@@ -24,3 +26,15 @@ def test_holdout_matches_greedy(spark):
         frame = spark.createDataFrame([tuple(g.values()) for g in groups], "doc string, book string, task string, n long")
         for capacity in ({"x": 9, "y": 12, "none": 5}, {"x": 30, "y": 4, "z": 500}):
             assert sel.holdout(frame, capacity) == sel.holdout_groups(groups, capacity)
+
+
+def test_looks_of_many_strings(spark):
+    rows = [("t", f"{i:03}", "twelve" + "\u200b" * i) for i in range(12)] + [("t", f"a{i:03}{c}", "twice" + "\u200b" * i) for i in range(12) for c in "xy"]
+    rows += [("u", f"{i:03}", "blocks" + "\u200b" * i) for i in range(lookalike.BLOCK + 44)] + [("v", f"{i:04}", "copies" + "\u200b" * (i % 12)) for i in range(12 * 40)]
+    got = [tuple(r) for r in lookalike.look_pairs(spark.createDataFrame(rows, "src_table string, row_id string, text string")).collect()]
+    want = {(s, x, y) for (s, x, a), (t, y, b) in itertools.combinations(sorted(rows), 2) if s == t and s != "v" and a != b and a.rstrip("\u200b") == b.rstrip("\u200b")}
+    text = {r[:2]: r[2] for r in rows}
+    assert len(got) == len(set(got)) and {p for p in got if p[0] != "v"} == want
+    copies = [p for p in got if p[0] == "v"]  # 40 x 40 members: the strings are paired each with each, copies linked
+    assert {tuple(sorted((text["v", x], text["v", y]))) for _, x, y in copies} == set(itertools.combinations(sorted({r[2] for r in rows if r[0] == "v"}), 2))
+    assert {x for _, *p in copies for x in p} == {r[1] for r in rows if r[0] == "v"} and len(copies) < 12 * 40 + 66

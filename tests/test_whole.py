@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries as core
 from corpusloom.llm import lookalike
+from corpusloom.operators import decontaminate
 from corpusloom.operators import select as sel
 
 
@@ -38,3 +39,14 @@ def test_looks_of_many_strings(spark):
     copies = [p for p in got if p[0] == "v"]  # 40 x 40 members: the strings are paired each with each, copies linked
     assert {tuple(sorted((text["v", x], text["v", y]))) for _, x, y in copies} == set(itertools.combinations(sorted({r[2] for r in rows if r[0] == "v"}), 2))
     assert {x for _, *p in copies for x in p} == {r[1] for r in rows if r[0] == "v"} and len(copies) < 12 * 40 + 66
+
+
+BOUNDARY = "row_id string, chapter string, book string, near_group string, translation string, text string"
+
+
+def test_shared_span_off_the_stride(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(100))
+    dev = spark.createDataFrame([("d", None, None, None, None, text)], BOUNDARY)
+    train = spark.createDataFrame([(f"t{n}_{i}", None, None, None, None, "鿿" + text[i : i + n] + "鿾") for n in (23, 24, 34) for i in (1, 5, 11, 30)], BOUNDARY)
+    got = dict(decontaminate.boundary_conflicts(train, dev).collect())
+    assert got == {f"t{n}_{i}": "shared_24_char_span" for n in (24, 34) for i in (1, 5, 11, 30)}

@@ -140,6 +140,27 @@ def book_parts(title: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(title, "[·/‧]", "·"), "·"), lambda x: F.regexp_replace(x, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", ""))
 
 
+#: Titles that name no book.
+NO_BOOK = ("", "unknown", "佚名", "未详", "未詳", "不详", "不詳", "未知", "无名", "無名", "失名", "缺名", "阙名", "闕名", "无", "無", "无题", "無題", "anonymous", "anon", "untitled", "none", "null", "nil", "n/a", "na", "tbd", "-", "--", "—", "?", "？")
+BOOK_NUMBER = "[一二三四五六七八九十百千零〇两兩廿卅0-9０-９]+"
+BOOK_VOLUME = rf"[·•・．.:：,，、—_(（\[-]*(?:第{BOOK_NUMBER}[卷巻册冊回章篇部]|[卷巻册冊][之第]?(?:{BOOK_NUMBER}[上中下]?|[上中下首末前後后终終]))[)）\]]*$"
+BOOK_HIDDEN = r"[\p{Cf}\x{34F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]|[\p{Z}\s\x{85}]"
+BOOK_MARKS = "[《》〈〉「」『』【】﹁﹂﹃﹄“”‘’\"']"
+
+
+def book_key(title: Column) -> Column:
+    """The book that a title names, or null: title marks, blanks, characters without width and a volume mark after it do not matter."""
+    bare = F.regexp_replace(F.regexp_replace(title, BOOK_HIDDEN, ""), BOOK_MARKS, "")
+    cut = F.regexp_replace(bare, BOOK_VOLUME, "")
+    name = F.when(cut == "", bare).otherwise(cut)
+    return F.when(~F.lower(name).isin(*NO_BOOK), name)
+
+
+def doc_key(doc: Column) -> Column:
+    """The document group, or null where it is empty or unresolved."""
+    return F.when((F.trim(doc) != "") & ~F.trim(doc).startswith("unresolved:"), F.trim(doc))
+
+
 def path_suffix(path: Column) -> Column:
     """Lower-case suffix of a path's last part, with its dot; empty if it has none."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)\z", 1))

@@ -7,33 +7,15 @@ persisted spanning forest by minimum-edge contraction; whole components are deal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import NO_BOOK as NO_BOOK
+from corpusloom.functions.text import book_key, doc_key
 from corpusloom.operators.graph import component_roots
 from corpusloom.operators.prefix import prefix_sum
 from corpusloom.session import materialize
 
-#: Titles that name no book.
-NO_BOOK = ("", "unknown", "佚名", "未详", "未詳", "不详", "不詳", "未知", "无名", "無名", "失名", "缺名", "阙名", "闕名", "无", "無", "无题", "無題", "anonymous", "anon", "untitled", "none", "null", "nil", "n/a", "na", "tbd", "-", "--", "—", "?", "？")
-NUMBER = "[一二三四五六七八九十百千零〇两兩廿卅0-9０-９]+"
-VOLUME = rf"[·•・．.:：,，、—_(（\[-]*(?:第{NUMBER}[卷巻册冊回章篇部]|[卷巻册冊][之第]?(?:{NUMBER}[上中下]?|[上中下首末前後后终終]))[)）\]]*$"
-HIDDEN = r"[\p{Cf}\x{34F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]|[\p{Z}\s\x{85}]"
-MARKS = "[《》〈〉「」『』【】﹁﹂﹃﹄“”‘’\"']"
-
-
-def book_key(title: Column) -> Column:
-    """The book that a title names, or null: title marks, blanks, characters without width and a volume mark after it do not matter."""
-    bare = F.regexp_replace(F.regexp_replace(title, HIDDEN, ""), MARKS, "")
-    cut = F.regexp_replace(bare, VOLUME, "")
-    name = F.when(cut == "", bare).otherwise(cut)
-    return F.when(~F.lower(name).isin(*NO_BOOK), name)
-
-
-def doc_key(doc: Column) -> Column:
-    """The document group, or null where it is empty or unresolved."""
-    return F.when((F.trim(doc) != "") & ~F.trim(doc).startswith("unresolved:"), F.trim(doc))
-
 
 def tied(records: DataFrame) -> DataFrame:
     """(id, split, root): the set of tied records that each record of ``records (id, book, doc, split)`` belongs to.

@@ -101,23 +101,53 @@ def locate(passages: DataFrame, chapters: DataFrame, key: int = 16) -> DataFrame
 def boundary_conflicts(train: DataFrame, dev: DataFrame, least: int = 8, span: int = 24) -> DataFrame:
     """(row_id, reason): training records that must not stay beside the dev records, with the first reason that holds.
 
-    Both sides: row_id, chapter, book, near_group, translation, text. Reasons in order: chapter, book, near_group,
-    parallel_translation, dev_text_in_train, train_text_in_dev (8 characters or more), shared_24_char_span. Null
-    keys tie nothing.
+    Both sides: row_id, chapter, book, near_group, translation, text and, where there is one, modern. Reasons in
+    order: chapter, book (where one side has no chapter), near_group, parallel_translation, dev_text_in_train,
+    train_text_in_dev (8 characters or more), shared_24_char_span; the last three first by text, then by modern,
+    each against both texts of the dev records. Null keys tie nothing. Windows travel as hashes beside a text's
+    number, and texts meet only where a window did.
     """
     out = None
     keyed = (("chapter", "chapter"), ("book", "book"), ("near_group", "near_group"), ("translation", "parallel_translation"))
+    loose = F.col("chapter").isNull()
     for i, (c, reason) in enumerate(keyed):
-        hit = train.join(dev.where(F.col(c).isNotNull()).select(c).distinct(), c, "left_semi").select("row_id", F.lit(i).alias("n"), F.lit(reason).alias("reason"))
+        named = dev.where(F.col(c).isNotNull())
+        if c == "book":
+            hit = train.where(loose).join(named.select(c).distinct(), c, "left_semi").unionByName(train.join(named.where(loose).select(c).distinct(), c, "left_semi"))
+        else:
+            hit = train.join(named.select(c).distinct(), c, "left_semi")
+        hit = hit.select("row_id", F.lit(i).alias("n"), F.lit(reason).alias("reason"))
         out = hit if out is None else out.unionByName(hit)
-    a, b = (x.select("row_id", T.unpunctuated(F.col("text")).alias("t")) for x in (train, dev))
 
-    def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        p = inner.where(F.length("t") >= least).select(F.col("row_id").alias("inner_id"), F.col("t").alias("p"), F.substring("t", 1, least).alias("g"))
-        return outer.select(F.col("row_id").alias("outer_id"), "t", F.explode(F.array_distinct(T.char_grams(F.col("t"), least))).alias("g")).join(p, "g").where(F.col("t").contains(F.col("p")))
-
-    out = out.unionByName(inside(b, a).select(F.col("outer_id").alias("row_id"), F.lit(4).alias("n"), F.lit("dev_text_in_train").alias("reason")))
-    out = out.unionByName(inside(a, b).select(F.col("inner_id").alias("row_id"), F.lit(5).alias("n"), F.lit("train_text_in_dev").alias("reason")))
-    spans = shared_spans(train, dev.select(F.lit(0).alias("item_id"), "text"), span, step=1)  # which dev record it is does not matter
-    out = out.unionByName(spans.select("row_id", F.lit(6).alias("n"), F.lit("shared_24_char_span").alias("reason")))
+    def sides(x: DataFrame) -> DataFrame:
+        own = F.array(*(T.unpunctuated(F.col(c)) for c in ("text", "modern") if c in x.columns))
+        t = x.select("row_id", F.posexplode(own).alias("pos", "t")).where("t <> ''")
+        size = F.length("t")
+        return materialize(t.select(F.xxhash64("row_id", "pos").alias("id"), "row_id", "pos", "t", F.when(size >= span, span).otherwise(F.least(size, F.lit(least))).alias("k")), "sides")
+
+    def windows(x: DataFrame, k: int) -> DataFrame:
+        return x.where(F.length("t") >= k).select("id", F.explode(F.array_distinct(F.transform(T.char_grams(F.col("t"), k), lambda g: F.xxhash64(g)))).alias("h"))
+
+    def heads(x: DataFrame, k: int) -> DataFrame:
+        return x.where(F.col("k") == k).select(F.col("id").alias("inner"), F.col("t").alias("p"), F.xxhash64(F.substring("t", 1, k)).alias("h"))
+
+    def holds(found: DataFrame, outer: DataFrame) -> DataFrame:
+        """(id, inner) of the windows ``found (id, h, p, ...)`` whose text in ``outer`` holds the whole of ``p``."""
+        return found.join(outer.select("id", "t"), "id").where(F.col("t").contains(F.col("p")))
+
+    def add(ids: DataFrame, n: int, reason: str) -> None:
+        nonlocal out
+        hit = a.join(ids.distinct(), "id", "left_semi").select("row_id", (F.col("pos") * 3 + n).alias("n"), F.lit(reason).alias("reason"))
+        out = out.unionByName(hit)
+
+    a, b = sides(train), sides(dev)
+    shared = materialize(windows(a, span).join(windows(b, span).select("h").distinct(), "h", "left_semi").select("id", "h"), "shared")
+    add(shared.select("id"), 6, "shared_24_char_span")
+    for k in [r[0] for r in b.select("k").distinct().collect()]:  # at most ``least`` + 1 lengths
+        p = heads(b, k).select("h", "p").distinct()
+        add(holds((shared if k == span else windows(a, k)).join(p, "h"), a).select("id"), 4, "dev_text_in_train")
+    for k in [r[0] for r in a.where(F.col("k") >= least).select("k").distinct().collect()]:
+        p = heads(a, k)
+        found = windows(b, k).join(p.select("h").distinct(), "h", "left_semi").join(p, "h")
+        add(holds(found, b).select(F.col("inner").alias("id")), 5, "train_text_in_dev")
     return out.groupBy("row_id").agg(F.min_by("reason", "n").alias("reason"))

@@ -312,8 +312,9 @@ def dup21_locate(spark, d):
 
 @query()
 def dup22_boundary_conflicts(spark, d):
-    e = _pairs(spark, d).join(table(spark, d, "eligible").select("id", "split", "book", "doc", "cluster").dropDuplicates(["id"]), "id").dropDuplicates(["id"])
-    x = e.select(F.col("id").alias("row_id"), "split", F.nullif("doc", F.lit("")).alias("chapter"), F.lit(None).cast("string").alias("book"), F.nullif("cluster", F.lit("")).alias("near_group"), F.md5("modern").alias("translation"), F.coalesce("ancient", F.lit("")).alias("text"))
+    e = _pairs(spark, d).join(table(spark, d, "eligible").select("id", "task", "split", "book", "doc", "cluster").dropDuplicates(["id"]), "id").dropDuplicates(["id"])
+    translated = F.lower(F.trim("task")).isin("c2m", "m2c")
+    x = e.select(F.col("id").alias("row_id"), "split", T.doc_key(F.col("doc")).alias("chapter"), T.book_key(F.col("book")).alias("book"), F.nullif("cluster", F.lit("")).alias("near_group"), F.md5("modern").alias("translation"), F.coalesce("ancient", F.lit("")).alias("text"), F.when(translated, F.col("modern")).alias("modern"))
     x = materialize(x, "boundary")
     return decontaminate.boundary_conflicts(x.where("split = 'train'"), x.where("split = 'dev'"))
 

@@ -1,6 +1,7 @@
 """Whole results where a cut once stood: more groups, strings, positions and messages than it let through."""
 
 import itertools
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -50,3 +51,24 @@ def test_shared_span_off_the_stride(spark):
     train = spark.createDataFrame([(f"t{n}_{i}", None, None, None, None, "鿿" + text[i : i + n] + "鿾") for n in (23, 24, 34) for i in (1, 5, 11, 30)], BOUNDARY)
     got = dict(decontaminate.boundary_conflicts(train, dev).collect())
     assert got == {f"t{n}_{i}": "shared_24_char_span" for n in (24, 34) for i in (1, 5, 11, 30)}
+
+
+def test_boundary_by_book_and_modern(spark):
+    shape = BOUNDARY + ", modern string"
+    own = {k: "".join(chr(0x4E00 + 200 * j + i) for i in range(60)) for j, k in enumerate("abcdefgh")}
+    dev = [("d1", "c1", "b1", None, None, own["a"], own["b"]), ("d2", None, "b2", None, None, "短句也", None)]
+    train = [("loose", None, "b1", None, None, "甲", None), ("back", "c9", "b2", None, None, "甲", None), ("apart", "c9", "b1", None, None, "甲", None)]
+    train += [("holds", "c9", None, None, None, own["c"], own["d"] + own["b"]), ("within", "c9", None, None, None, own["c"], own["a"][3:20]), ("span", "c9", None, None, None, own["e"] + own["b"][5:30], own["f"])]
+    train += [("first", "c9", None, None, None, own["a"][7:40] + own["g"], own["b"]), ("short", "c9", None, None, None, "前短，句也後", None), ("free", "c9", None, None, None, own["h"], own["a"][:7])]
+    got = dict(decontaminate.boundary_conflicts(spark.createDataFrame(train, shape), spark.createDataFrame(dev, shape)).collect())
+    assert got == {"loose": "book", "back": "book", "holds": "dev_text_in_train", "within": "train_text_in_dev", "span": "shared_24_char_span", "first": "shared_24_char_span", "short": "dev_text_in_train"}
+
+
+def test_boundary_query_passes_book_and_modern(spark, tmp_path):
+    text = {k: "".join(chr(0x4E00 + 200 * j + i) for i in range(60)) for j, k in enumerate("abcdefghij")}
+    rows = [("d1", "c2m", "dev", "《書一》", "g1", "a", "b"), ("d2", "C2M", "dev", "書二", "unresolved:d2", "c", "d")]
+    rows += [("t1", "c2m", "train", "書一 卷三", None, "e", "f"), ("t2", "c2m", "train", "書二", "g2", "g", "h"), ("t3", "punctuate", "train", "佚名", "g3", "i", "j"), ("t4", "m2c", "train", None, None, "i", "bj"), ("t5", "m2c", "train", "書一", "g5", "i", "j")]
+    payload = lambda a, m: json.dumps({"ancient": text[a], "modern": "".join(text[c] for c in m)})
+    frame = spark.createDataFrame([(i, t, s, b, g, None, payload(a, m)) for i, t, s, b, g, a, m in rows], "id string, task string, split string, book string, doc string, cluster string, payload string")
+    frame.write.parquet(str(tmp_path / "eligible.parquet"))
+    assert dict(core.queries()["dup22_boundary_conflicts"](spark, str(tmp_path)).collect()) == {"t1": "book", "t2": "book", "t4": "dev_text_in_train"}

@@ -236,6 +236,13 @@ def dup15_components(spark, d):
     return graph.components(e)
 
 
+@query()
+def dup15_all_components(spark, d):
+    """The components over all edges; dup15_components and its SQL leave out titles of up to four characters."""
+    e = table(spark, d, "eligible").where("book is not null and doc is not null").selectExpr("'b:' || book AS u", "'d:' || doc AS v").distinct()
+    return graph.components(e)
+
+
 @query(f"SELECT prompt, min_by(pool_id, (family, shuffle, pool_id)) AS pool_id FROM (SELECT *, {_lines('prompt')} AS p FROM pool) GROUP BY p, prompt HAVING false UNION ALL SELECT p, min_by(pool_id, (family, shuffle, pool_id)) FROM (SELECT *, {_lines('prompt')} AS p FROM pool) GROUP BY p")
 def dup18_first_prompt(spark, d):
     t = table(spark, d, "pool").select(T.lines_normal(F.col("prompt")).alias("prompt"), "pool_id", "family", "shuffle")

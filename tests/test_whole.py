@@ -72,3 +72,20 @@ def test_boundary_query_passes_book_and_modern(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, s, b, g, None, payload(a, m)) for i, t, s, b, g, a, m in rows], "id string, task string, split string, book string, doc string, cluster string, payload string")
     frame.write.parquet(str(tmp_path / "eligible.parquet"))
     assert dict(core.queries()["dup22_boundary_conflicts"](spark, str(tmp_path)).collect()) == {"t1": "book", "t2": "book", "t4": "dev_text_in_train"}
+
+
+def test_components_by_short_titles(spark, tmp_path):
+    r = random.Random(8)
+    edges = [(r.choice(["書", "短題", "四字之書", "五字的書名", f"長長的書名{i}"]) + r.choice(["", str(r.randrange(20))]), f"d{r.randrange(90)}") for i in range(120)]
+    spark.createDataFrame([*edges, (None, "x"), ("x", None)], "book string, doc string").write.parquet(str(tmp_path / "eligible.parquet"))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for b, d in edges:
+        a, z = sorted((find("b:" + b), find("d:" + d)))
+        parent[z] = a
+    assert dict(core.queries()["dup15_all_components"](spark, str(tmp_path)).collect()) == {n: find(n) for n in parent}

@@ -291,7 +291,9 @@ def dup12_contamination(spark, d):
 
 @query()
 def dup19_contained_passages(spark, d):
-    t = table(spark, d, "pool").where("prompt is not null").select(F.col("pool_id").alias("row_id"), F.col("prompt").alias("text"))
+    m = adapters.conversations(table(spark, d, "pool")).select("pool_id", "prompt", F.transform("messages", lambda m: m["content"]).alias("contents"))
+    own = F.concat(F.array("prompt"), F.coalesce("contents", F.array().cast("array<string>")))  # a broken payload still has its prompt
+    t = m.select(F.col("pool_id").alias("row_id"), F.explode(F.array_distinct(own)).alias("text")).where("text is not null")
     return decontaminate.contained_passages(t, table(spark, d, "benchmark_items").where("question is not null").select("item_id", F.col("question").alias("text")))
 
 

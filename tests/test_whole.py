@@ -74,6 +74,17 @@ def test_boundary_query_passes_book_and_modern(spark, tmp_path):
     assert dict(core.queries()["dup22_boundary_conflicts"](spark, str(tmp_path)).collect()) == {"t1": "book", "t2": "book", "t4": "dev_text_in_train"}
 
 
+def test_contained_passages_in_every_message(spark, tmp_path):
+    item = [chr(0x4E00 + 100 * i) * 3 + "".join(chr(0x5000 + 60 * i + j) for j in range(40)) for i in range(5)]
+    say = lambda *x: json.dumps({"messages": [{"role": r, "content": c} for r, c in x]})
+    rows = [("first", "q" + item[0], say(("user", "q" + item[0]), ("assistant", "a"))), ("system", "q", say(("system", item[1]), ("user", "q"), ("assistant", "a"))), ("answer", "q", say(("user", "q"), ("assistant", "see " + item[2])))]
+    rows += [("later", "q", say(("user", "q"), ("assistant", "a"), ("user", item[3] + "?"), ("assistant", "b " + item[4] + item[4]))), ("broken", item[0], '{"messages": ['), ("split", "q", say(("user", item[0][:20]), ("assistant", item[0][20:]))), ("none", None, None)]
+    spark.createDataFrame(rows, "pool_id string, prompt string, payload string").write.parquet(str(tmp_path / "pool.parquet"))
+    spark.createDataFrame(list(enumerate(item)), "item_id long, question string").write.parquet(str(tmp_path / "benchmark_items.parquet"))
+    got = sorted(tuple(r) for r in core.queries()["dup19_contained_passages"](spark, str(tmp_path)).collect())
+    assert got == [("answer", 2), ("broken", 0), ("first", 0), ("later", 3), ("later", 4), ("system", 1)]
+
+
 def test_components_by_short_titles(spark, tmp_path):
     r = random.Random(8)
     edges = [(r.choice(["書", "短題", "四字之書", "五字的書名", f"長長的書名{i}"]) + r.choice(["", str(r.randrange(20))]), f"d{r.randrange(90)}") for i in range(120)]

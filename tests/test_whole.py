@@ -4,10 +4,12 @@ import itertools
 import json
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
-from corpusloom.llm import lookalike
+from corpusloom.llm import lookalike, subjects
 from corpusloom.operators import decontaminate
 from corpusloom.operators import select as sel
 
@@ -100,3 +102,18 @@ def test_components_by_short_titles(spark, tmp_path):
         a, z = sorted((find("b:" + b), find("d:" + d)))
         parent[z] = a
     assert dict(core.queries()["dup15_all_components"](spark, str(tmp_path)).collect()) == {n: find(n) for n in parent}
+
+
+@pytest.mark.parametrize(("exact", "least"), [(1 << 17, 1.0), (1 << 9, 0.9), (1 << 7, 0.9)])
+def test_neighbour_recall(spark, exact, least):
+    r, n = np.random.default_rng(2), 3000
+    x = r.standard_normal((n, subjects.DIMS)) + 0.9 * np.repeat(r.standard_normal((n // 6, subjects.DIMS)), 6, axis=0)
+    x = np.clip(np.round(x / np.sqrt((x * x).sum(1, keepdims=True)) * 500), -127, 127).astype(np.int8)
+    y = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    c = y @ y.T
+    np.fill_diagonal(c, -1)
+    p = subjects.Params(bucket=32)  # blocks of 512
+    want = {(i, int(j)) for i in range(n) for j in np.argsort(-c[i])[: p.neighbours] if c[i, j] >= p.cosine}
+    rows = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, vec binary")
+    got = {(e.node, e.other) for e in subjects.neighbours(rows, n, p, exact).collect()}
+    assert len(want) > 10_000 and len(want & got) / len(want) >= least

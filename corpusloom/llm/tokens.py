@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.crosssplit import _holds, hash_filter
+from corpusloom.llm._sums import hash_filter, holds
 from corpusloom.session import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -158,7 +158,7 @@ def update(docs: DataFrame, ledger: Ledger, path: str = TOKENIZER) -> Ledger:
         for batch in parts:
             h = batch.column(1).to_numpy()
             rows = []
-            for i in np.flatnonzero(_holds(bitmap, shift, h)).tolist():
+            for i in np.flatnonzero(holds(bitmap, shift, h)).tolist():
                 if h[i] not in done:
                     if len(done) >= REMEMBERED:
                         done.clear()

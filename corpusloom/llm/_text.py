@@ -59,8 +59,8 @@ def batches(column: pa.ChunkedArray | pa.Array, most: int = 1 << 18) -> Iterator
         yield a, column.slice(a, b - a)
 
 
-def base_form(char: str) -> str:
-    """One character in the form that stands for all that look the same; "" for one without width."""
+def code_form(char: str) -> str:
+    """One character without width, composition and kind of blank, in its own alphabet; "" for one without width."""
     cp, kind = ord(char), unicodedata.category(char)
     if kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp == 0x34F:
         return ""
@@ -68,7 +68,12 @@ def base_form(char: str) -> str:
         return " "
     if any(a <= cp < b for a, b in FORMS):
         char = unicodedata.normalize("NFKC", char)
-    parts = "".join(LOOKALIKE.get(c, c) for c in unicodedata.normalize("NFD", char))
+    return unicodedata.normalize("NFC", char)
+
+
+def base_form(char: str) -> str:
+    """One character in the form that stands for all that look the same; "" for one without width."""
+    parts = "".join(LOOKALIKE.get(c, c) for c in unicodedata.normalize("NFD", code_form(char)))
     return unicodedata.normalize("NFC", parts)
 
 
@@ -121,6 +126,12 @@ def look_table() -> Table:
     return Table(base_form, keep_rest=True)
 
 
+@lru_cache
+def code_table() -> Table:
+    """Code points to their form in their own alphabet; letter case, punctuation and line ends stay as they are."""
+    return Table(code_form, keep_rest=True)
+
+
 @lru_cache
 def letter_table() -> Table:
     """Code points to bare letters and digits; all else goes."""
@@ -235,8 +246,13 @@ def cover(query: np.ndarray, text: np.ndarray, m: int, band: int, gap: int) -> n
     hits = at_query[(diag >= best) & (diag <= best + band)]
     for j in range(m):
         mask[hits + j] = True
-    at = np.flatnonzero(mask)
+    return filled(mask, gap)
+
+
+def filled(mask: np.ndarray, gap: int) -> np.ndarray:
+    """The mask with gaps of at most ``gap`` between its runs filled."""
+    out, at = mask.copy(), np.flatnonzero(mask)
     step = np.diff(at)
     for i in np.flatnonzero((step > 1) & (step <= gap + 1)):
-        mask[at[i] : at[i + 1]] = True
-    return mask
+        out[at[i] : at[i + 1]] = True
+    return out

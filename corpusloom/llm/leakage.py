@@ -2,7 +2,8 @@
 
 The items' k-grams are the index; of every training text the minimum k-gram hash of each sliding window is probed.
 Hits of one item that lie on neighbouring diagonals are extended to the covered share of the item's wording.
-A shared span of w + k - 1 letters or more always yields a hit.
+A shared span of w + k - 1 letters or more always yields a hit, and k and w are chosen by the length of the item such
+that half of its wording is at least that long.
 """
 
 from __future__ import annotations
@@ -20,23 +21,27 @@ from pyspark.sql import functions as F
 from corpusloom.llm import _text
 from corpusloom.session import materialize
 
-#: Items of at most this many letters in all are sent to the workers; more are joined by fingerprint.
-BROADCAST_LETTERS = 4_000_000
+#: Characters of the items that are searched for in one pass; more items are searched for block by block.
+BLOCK_LETTERS = 4_000_000
 SENTENCE = re.compile(r"(?<=[。？！?!.:：\n])")
 
 
 @dataclass(frozen=True)
 class Params:
-    """k and window per profile (wide: ideographs, narrow: alphabets), share of the wording, least letters of an item."""
+    """Profiles (ideographs or not, least letters of an item, k, window), share of the wording, least letters of an item, share of an item's letters whose hits make a candidate, questions that make a sentence stock, width of a diagonal band, letters of a gap, part of the share that must recur unchanged.
 
-    wide: tuple[int, int] = (7, 4)
-    narrow: tuple[int, int] = (16, 8)
+    An item belongs to the last profile of its script whose least letters it has. For every length from ``least`` on
+    k + window - 1 is at most half of the item, so that an unbroken half always has a hit.
+    """
+
+    profiles: tuple[tuple[bool, int, int, int], ...] = ((True, 16, 6, 3), (False, 16, 7, 2), (False, 46, 16, 8))
     share: float = 0.5
     least: int = 16
     seed: float = 0.04
     stock: int = 3
     band: int = 24
     gap: int = 12
+    unchanged: float = 0.7
 
 
 def is_wide(letters: np.ndarray) -> bool:
@@ -46,15 +51,16 @@ def is_wide(letters: np.ndarray) -> bool:
 class Index:
     """The k-grams of the items with their postings."""
 
-    def __init__(self, ids: list[int], questions: list[str], stock: set[str], p: Params):
-        self.p, self.ids, self.letters, self.core = p, ids, [], []
-        for q in questions:
+    def __init__(self, questions: list[str], stocks: list[set[str]], p: Params):
+        self.p, self.letters, self.core = p, [], []
+        for q, stock in zip(questions, stocks, strict=True):
             parts = [(plain(s), s) for s in SENTENCE.split(q)]
             self.letters.append(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.encode("utf-32-le"), "<u4") for x, _ in parts)]))
             self.core.append(np.concatenate([np.zeros(0, bool), *(np.full(len(x), x not in stock) for x, _ in parts)]))
         self.profiles = []
-        for (k, w), wide in ((p.wide, True), (p.narrow, False)):
-            own = [i for i, x in enumerate(self.letters) if len(x) >= max(p.least, k) and is_wide(x) == wide]
+        side = [max((n, j) for j, (wide, n, _, _) in enumerate(p.profiles) if n <= len(x) and wide == is_wide(x))[1] if len(x) >= p.least else -1 for x in self.letters]
+        for j, (_, _, k, w) in enumerate(p.profiles):
+            own = [i for i, mine in enumerate(side) if mine == j]
             points = np.concatenate([np.zeros(0, np.uint32), *(self.letters[i] for i in own)])
             ends = np.cumsum([0, *(len(self.letters[i]) for i in own)])
             h, valid = _text.kgrams(points, ends, k)
@@ -94,16 +100,19 @@ class Index:
                 d, i, b = doc[order], item[order], b[order]
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)]))
                 count = np.diff(np.append(new, len(d)))
-                keep = count >= np.maximum(2, self.p.seed * length[i[new]] * 2 / (w + 1))
+                keep = count >= np.maximum(1, self.p.seed * length[i[new]] * 2 / (w + 1))
                 g = diag[order]
                 low, high = np.minimum.reduceat(g, new), np.maximum.reduceat(g, new)
                 out.append(np.stack([d[new], i[new], low, high], 1)[keep])
         return np.concatenate([np.zeros((0, 4), np.int64), *out])
 
     def holds(self, item: int, text: np.ndarray) -> bool:
-        """Half of the item's wording, and half of it without its stock sentences, recurs in order in one place."""
+        """Half of the item's wording, and of it without its stock sentences, recurs in order in one place, most of that unchanged."""
         q, core = self.letters[item], self.core[item]
-        mask = _text.cover(q, text, 4 if is_wide(q) else 7, 2 * self.p.band, self.p.gap)
+        same = _text.cover(q, text, 4 if is_wide(q) else 7, 2 * self.p.band, 0)
+        if same.mean() < self.p.share * self.p.unchanged:
+            return False
+        mask = _text.filled(same, self.p.gap)
         return mask.mean() >= self.p.share and (not core.any() or mask[core].mean() >= self.p.share * 0.8)
 
     def window(self, points: np.ndarray, begin: int, end: int, item: int, low: int, high: int) -> np.ndarray:
@@ -116,36 +125,43 @@ def plain(text: str) -> str:
     return _text.to_strings(*_text.letters(pa.array([text])))[0]
 
 
-def stock_sentences(questions: list[tuple[int, str]], least: int) -> set[str]:
-    """Sentences that open or close ``least`` or more different questions."""
-    seen: dict[str, set[str]] = {}
-    for _, q in questions:
-        whole = plain(q)
-        for s in {plain(s) for s in SENTENCE.split(q)} - {"", whole}:
-            seen.setdefault(s, set()).add(whole)
-    return {s for s, qs in seen.items() if len(qs) >= least}
+def with_stock(items: DataFrame, least: int) -> DataFrame:
+    """``items (item_id, question)`` with ``stock``: those of its sentences that open or close ``least`` or more different questions."""
+    pieces = items.mapInPandas(_pieces, "item_id bigint, question string, sentence string, whole string")
+    often = pieces.where("sentence <> '' and sentence <> whole").groupBy("sentence").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= least)
+    return pieces.join(often.select("sentence", F.col("sentence").alias("own")), "sentence", "left").groupBy("item_id", "question").agg(F.collect_set("own").alias("stock"))
+
+
+def _pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in parts:
+        yield pd.DataFrame([(i, q, plain(s), plain(q)) for i, q in zip(x.item_id, x.question, strict=True) for s in SENTENCE.split(q)], columns=["item_id", "question", "sentence", "whole"])
 
 
-def leaks(texts: DataFrame, items: DataFrame, p: Params | None = None, most_letters: int = BROADCAST_LETTERS) -> DataFrame:
+def leaks(texts: DataFrame, items: DataFrame, p: Params | None = None, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """(src_table, row_id, item_id): rows of ``texts (src_table, row_id, text)`` that hold an item of ``items (item_id, question)``.
 
     A row holds an item if at least ``share`` of the letters and digits of its question recur in order and in one
     place; case, look-alike characters, marks, punctuation and blanks do not matter and single changed words or
     characters may be scattered. Items of fewer than ``least`` letters or digits, null questions and null texts
-    have no rows; repeated rows count once. Whole texts are read. Items of up to ``most_letters`` characters
-    travel to the workers and no training text is shuffled; beyond that fingerprints are joined.
+    have no rows; repeated rows count once. Whole texts are read and none is shuffled: the items travel to the
+    workers, in blocks of about ``block_letters`` characters, each of which is searched for in one pass.
     """
     p = p or Params()
     texts = texts.select("src_table", "row_id", "text").where("text is not null and text <> ''")
-    items = items.select("item_id", "question").where(F.length("question") >= p.least).distinct()
-    if (items.agg(F.sum(F.length("question"))).first()[0] or 0) > most_letters:
-        return _leaks_joined(texts, items, p)
-    rows = [(r[0], r[1]) for r in items.collect()]
-    ids, questions = [r[0] for r in rows], [r[1] for r in rows]
-    stock = stock_sentences(rows, p.stock)
-
-    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(ids, questions, stock, p)
+    items = items.select("item_id", "question").where((F.length("question") >= p.least) & F.col("item_id").isNotNull()).distinct()
+    ready = materialize(with_stock(items, p.stock), "items")
+    blocks = max(1, -(-(ready.agg(F.sum(F.length("question"))).first()[0] or 0) // block_letters))
+    found = None
+    for b in range(blocks):
+        rows = ready.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(blocks)) == b).collect()
+        one = texts.mapInArrow(_probe([r[0] for r in rows], [r[1] for r in rows], [set(r[2]) for r in rows], p), "src_table string, row_id string, item_id bigint")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def _probe(ids: list[int], questions: list[str], stocks: list[set[str]], p: Params):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(questions, stocks, p)
         for batch in parts:
             found: dict[tuple[int, int], None] = {}
             for first, part in _text.batches(batch.column(2)):
@@ -156,58 +172,7 @@ def leaks(texts: DataFrame, items: DataFrame, p: Params | None = None, most_lett
             at = pa.array([d for d, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([ids[i] for _, i in found], pa.int64())], ["src_table", "row_id", "item_id"])
 
-    return texts.mapInArrow(probe, "src_table string, row_id string, item_id bigint").distinct()
-
-
-def _leaks_joined(texts: DataFrame, items: DataFrame, p: Params) -> DataFrame:
-    """The same for any number of items: fingerprints of both sides are joined, dense hits extended with the texts at hand."""
-    pieces = items.mapInPandas(_pieces, "item_id bigint, sentence string, whole string")
-    stock = pieces.where("sentence <> '' and sentence <> whole").groupBy("sentence").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= p.stock)
-    owned = pieces.join(stock, "sentence", "left_semi").groupBy("item_id").agg(F.collect_set("sentence").alias("stock"))
-
-    def prints(kept: bool):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts:
-                for first, part in _text.batches(batch.column(batch.num_columns - 1)):
-                    points, ends = _text.letters(part)
-                    for wide, (k, w) in ((1, p.wide), (0, p.narrow)):
-                        h, valid = _text.kgrams(points, ends, k)
-                        at = _text.winnow(h, valid, w) if kept else np.flatnonzero(valid)
-                        doc = np.searchsorted(ends, at, "right") - 1
-                        if not kept:
-                            side = np.array([is_wide(points[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], bool)
-                            keep = side[doc] == bool(wide)
-                            at, doc = at[keep], doc[keep]
-                        keys = [batch.column(i).take(pa.array(first + doc)) for i in range(batch.num_columns - 1)]
-                        size = np.diff(ends)[doc]
-                        values = [keys, [pa.array(h[at].view(np.int64)), pa.array((at - ends[doc]).astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(np.full(len(at), w, np.int64))]]
-                        yield pa.RecordBatch.from_arrays(sum(values, []), [*batch.schema.names[:-1], "h", "pos", "size", "w"])
-
-        return run
-
-    shape = "h bigint, pos bigint, size bigint, w bigint"
-    index = items.mapInArrow(prints(False), f"item_id bigint, {shape}").select("item_id", "h", F.col("pos").alias("ipos"), F.col("size").alias("isize"), "w")
-    hits = texts.mapInArrow(prints(True), f"src_table string, row_id string, {shape}").drop("size").join(index, ["h", "w"])
-    diag = F.col("pos") - F.col("ipos")
-    spans = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(p.band)))).groupBy("src_table", "row_id", "item_id", "isize", "w", F.floor((diag + F.col("shift")) / (2 * p.band)).alias("bin"), "shift").agg(F.count("*").alias("n"), F.min(diag).alias("low"), F.max(diag).alias("high"))
-    spans = spans.where(F.col("n") >= F.greatest(F.lit(2.0), p.seed * F.col("isize") * 2 / (F.col("w") + 1))).select("src_table", "row_id", "item_id", "low", "high")
-    full = spans.join(texts, ["src_table", "row_id"]).join(items.join(owned, "item_id", "left"), "item_id")
-
-    def extend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            ok = []
-            for text, q, stock, low, high in zip(x.text, x.question, x.stock, x.low, x.high, strict=True):
-                one = Index([0], [q], set(stock) if stock is not None else set(), p)
-                points, ends = _text.letters(pa.array([text]))
-                ok.append(one.holds(0, one.window(points, 0, ends[1], 0, low, high)))
-            yield x.loc[ok, ["src_table", "row_id", "item_id"]]
-
-    return full.mapInPandas(extend, "src_table string, row_id string, item_id bigint").distinct()
-
-
-def _pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in parts:
-        yield pd.DataFrame([(i, plain(s), plain(q)) for i, q in zip(x.item_id, x.question, strict=True) for s in SENTENCE.split(q)], columns=["item_id", "sentence", "whole"])
+    return run
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:

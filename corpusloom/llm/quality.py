@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _text
+from corpusloom.llm._sums import summed_vector
 from corpusloom.llm.quality_examples import EXAMPLES
 from corpusloom.session import materialize
 
@@ -31,7 +32,10 @@ SENTENCE_MARKS = TERMINAL + "，,、：:“”\"'‘’（）()《》-—«»"
 BULLETS = "•·○◇◆■►▪●※→□▶★☐"
 SPACED_BULLETS = "-*+—–"
 CODE_MARKS = "(){}[];=<>_%+*/&#"
-NAMES = ["common", "digits", "symbols", "odd", "marks", "line_ends", "line_length", "bullets", "cells", "variety", "word_length", "case_changes", "code", "spaces"]
+NAMES = ["common", "digits", "symbols", "odd", "marks", "line_ends", "line_length", "bullets", "cells", "variety", "word_length", "case_changes", "code", "spaces", "ended", "listed", "tabular", "run_length"]
+#: The statistics that the mixture is fitted to: those by line are left out for the same ones by characters, so that a
+#: few short lines do not outweigh the text around them.
+MODEL = [i for i, n in enumerate(NAMES) if n not in ("line_ends", "line_length", "bullets", "cells")]
 KINDS = ("prose", "code", "list", "table", "junk")
 
 
@@ -139,7 +143,13 @@ def features(column: pa.Array) -> np.ndarray:
     before = np.concatenate([[10], points[:-1]])
     cell = (points == ord("|")) | (points == 9) | (points == ord("=")) | ((points == ord(",")) & (follow != 32) & (follow != 10)) | ((points == 32) & (follow == 32) & (before != 32) & (before != 10))
     n_cell = np.concatenate([[0], np.cumsum(cell)])
-    out[:, 8] = ratio(np.bincount(l_doc[n_cell[l_end] - n_cell[l_begin] >= 2], minlength=n_docs), lines)
+    cells = n_cell[l_end] - n_cell[l_begin] >= 2
+    out[:, 8] = ratio(np.bincount(l_doc[cells], minlength=n_docs), lines)
+    # the same by characters
+    l_solid = solid_before[l_end] - solid_before[l_begin]
+    for j, own in ((14, has["terminal"][last] & ~bullet & ~cells), (15, bullet), (16, cells)):
+        out[:, j] = ratio(np.bincount(l_doc[own], l_solid[own], minlength=n_docs), solid)
+    out[:, 17] = np.log1p(ratio(np.bincount(l_doc, l_solid.astype(float) ** 2, minlength=n_docs), solid))
     # words of any script
     r_doc, r_len, r_hash = _runs(points, has["letter"] | has["digit"], doc)
     n_runs = np.bincount(r_doc, minlength=n_docs)
@@ -158,11 +168,11 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def transform(raw: np.ndarray) -> np.ndarray:
-    """Statistics on scales on which the kinds of text form compact groups."""
+    """The mixture's statistics on scales on which the kinds of text form compact groups."""
     x = raw.copy()
     for j in (1, 2, 3, 4, 11, 12, 13):
         x[:, j] = np.sqrt(x[:, j])
-    return x
+    return x[:, MODEL]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -216,21 +226,21 @@ def _blocks(batch: pa.RecordBatch, shift: np.ndarray, scale: np.ndarray, rows: i
 def fit(stats: DataFrame, iterations: int = 20, floor: float = 0.02) -> tuple[Mixture, np.ndarray, np.ndarray, np.ndarray]:
     """(mixture, shift, scale, kind shares per component) fitted to all non-empty rows of ``stats``.
 
-    The components start from the groups of inspected examples. Each iteration is one pass in which every
-    partition sends only its sufficient statistics (k * d * d numbers) to the driver. A component is shared out
+    The components start from the groups of inspected examples. Each iteration is one pass; the
+    partitions' sufficient statistics (k * d * d numbers) are added up on the executors. A component is shared out
     between kinds in proportion to the examples it explains.
     """
-    d = len(NAMES)
+    d = len(MODEL)
 
-    def moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def moments(parts: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(2 * d + 1)
         for batch in parts:
             for _, x in _blocks(batch, np.zeros(d), np.ones(d)):
                 total += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+        return total
 
     used = stats.where("not empty").select(*NAMES)
-    m = sum(np.frombuffer(r[0]) for r in used.mapInArrow(moments, "data binary").collect())
+    m = summed_vector(used, moments, 2 * d + 1)
     n = max(m[0], 1.0)
     shift = m[1 : d + 1] / n
     scale = np.sqrt(np.maximum(m[d + 1 :] / n - shift**2, 1e-4))
@@ -243,7 +253,7 @@ def fit(stats: DataFrame, iterations: int = 20, floor: float = 0.02) -> tuple[Mi
     for _ in range(iterations):
         now = sc.broadcast(mixture)
 
-        def expect(parts: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def expect(parts: Iterator[pa.RecordBatch], now=now) -> np.ndarray:
             s0, s1, s2, ll = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
             for batch in parts:
                 for _, x in _blocks(batch, shift, scale):
@@ -252,10 +262,9 @@ def fit(stats: DataFrame, iterations: int = 20, floor: float = 0.02) -> tuple[Mi
                     s1 += p.T @ x
                     s2 += (p[:, :, None] * x[:, None, :]).transpose(1, 2, 0) @ x
                     ll += part
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[ll], s0, s1.ravel(), s2.ravel()]).tobytes()], pa.binary())], ["data"])
+            return np.concatenate([[ll], s0, s1.ravel(), s2.ravel()])
 
-        got = used.mapInArrow(expect, "data binary").collect()
-        s = sum(np.frombuffer(r[0]) for r in got)
+        s = summed_vector(used, expect, 1 + k + k * d + k * d * d)
         now.unpersist()
         ll, s0 = s[0], s[1 : k + 1]
         s1, s2 = s[k + 1 : k + 1 + k * d].reshape(k, d), s[k + 1 + k * d :].reshape(k, d, d)

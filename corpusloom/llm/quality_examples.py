@@ -83,6 +83,19 @@ _PY = 'def load_table(path_name, row_limit=20):\n    """The reader opens the fil
 _JS = "function mergeRows(left_part) {\n  const right_part = left_part.map(x => x + 12);\n  // The last row is often empty.\n  return right_part.filter(y => y % 3 === 0);\n}\n"
 _SQL = "SELECT user_name, COUNT(*) AS order_count\nFROM order_table\nWHERE price_total >= 100 AND city_name IS NOT NULL\nGROUP BY user_name; -- It is only one more report.\n"
 
+#: Common words of page navigation.
+_BOILERPLATE = ["home", "about us", "contact", "log in", "next page", "首页", "关于我们", "登录", "下一页", "版权所有"]
+
+
+def _crumbs(sep: str) -> list[str]:
+    """Rows of navigation: link words, counters and titles between separators."""
+    out = []
+    for s, words, n in ((11, _NOUNS_ZH, 24), (12, _NOUNS_EN, 20), (13, _NOUNS_ZH, 60), (14, _NOUNS_EN, 50)):
+        r, own = random.Random(s), [x for x in _BOILERPLATE if x.isascii() == words[0].isascii()]
+        out.append(sep.join(f"{r.choice(own)} {r.choice(('[{}]', '({})', '{}')).format(r.randrange(99))} {r.choice(words)}" for _ in range(n)))
+    return out
+
+
 EXAMPLES: list[tuple[str, list[str]]] = [
     ("prose", [*_ZH, "".join(_ZH[:3]), "\n\n".join(_ZH)]),
     ("prose", [*_EN, " ".join(_EN[:3]), "\n\n".join(_EN)]),
@@ -116,7 +129,8 @@ EXAMPLES: list[tuple[str, list[str]]] = [
     ("junk", [_junk(s, "<>#;※★_-=~}{&@!?:|/%^$*()+◇■→abeinorstuL", n) for s, n in ((1, 200), (2, 500), (3, 300))]),
     ("junk", [_broken("".join(_ZH[a:b])) for a, b in ((0, 2), (1, 5), (3, 6))]),
     ("junk", [_shuffled(1, " ".join(_EN[:2])), _shuffled(2, " ".join(_EN)), _shuffled(3, _EN[3] + _EN[1])]),
-    ("junk", _run(" >> ", lambda i, x: f"subscribe [{i * 7 % 100}] {x}") + _run(" >> ", lambda i, x: f"点击展开 [{i * 7 % 100}] {x}")),
-    ("junk", [f"{x}! " * 30 + "931578" for x in ("灯笼药物", "buy lantern", "旧照片利率", "Velmora market")]),
+    ("junk", [x for s in (" > ", " >> ", " » ") for x in _crumbs(s)]),
+    ("junk", [x for s in (" / ", " | ", " · ") for x in _run(s, lambda i, x: x)]),
+    ("junk", [m.join([x] * 30) for x, m in (("灯笼药物", "! "), ("buy lantern", "! "), ("旧照片利率", "！"), ("free window offer", " * "), ("茶馆", "\n"))]),
     ("junk", [s.join(_pick(k, w, 40)) for k, w, s in ((1, _NOUNS_ZH, "、"), (2, _NOUNS_EN, "，"), (3, _NOUNS_ZH, ", "), (4, _NOUNS_EN, " "), (5, _NOUNS_EN, " > "), (6, _NOUNS_ZH, " | "))]),
 ]

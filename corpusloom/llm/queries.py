@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_pairs(training_texts(spark, d))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The records of every look that has more than one string, with which all pairs can be written."""
+    return lookalike.look_members(training_texts(spark, d))
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalize(training_texts(spark, d))
 
@@ -56,6 +61,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.selectExpr("least(eval_id, train_id) AS id_a", "greatest(eval_id, train_id) AS id_b")
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.overlap_members(split_records(spark, d))
+
+
+def p4_passages(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.overlap_passages(split_records(spark, d))
+
+
 def p4_split_report(spark: SparkSession, d: str) -> DataFrame:
     records = split_records(spark, d)
     return crosssplit.overlap_report(materialize(crosssplit.overlaps(records), "overlaps"), records)

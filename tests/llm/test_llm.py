@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import _text, crosssplit, leakage, lookalike, mixing, packing, quality, splits, subjects, tokens
+from corpusloom.llm import _sums, _text, crosssplit, leakage, lookalike, mixing, packing, quality, splits, subjects, tokens
 
 R = random.Random(11)
 HAN = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽雲騰致雨露結為霜金生麗水玉出崑岡"
@@ -59,7 +59,23 @@ def test_kgrams_and_winnowing_guarantee():
 def test_letters_and_base_forms():
     got = _text.to_strings(*_text.letters(pa.array(["Ｆull ﬁne сор—É", None, "", "é 不​①"])))
     assert got == ["fullfinecope", "", "", "e不1"]
-    assert [s for _, x, _ in lookalike.base_strings(pa.array(["Ａé　x²①，", "é"])) for s in x] == ["Aé x²①，", "é"]
+    assert [s for _, x in lookalike.tabled_strings(pa.array(["Ａé　x²①，", "é"])) for s in x] == ["Aé x²①，", "é"]
+
+
+def test_sums_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(_sums, "FAN", 3)
+    monkeypatch.setattr(_sums, "_partitions", lambda frame: 20)
+
+    def run(parts):
+        total = np.zeros(2 * _sums.PIECE, np.int64)
+        for b in parts:
+            np.add.at(total, b.column(0).to_numpy() * 37 % len(total), 2**33)
+        yield from _sums.emit(total)
+
+    got = _sums.summed(spark.range(0, 5000, 1, 20), run, "<i8", 2 * _sums.PIECE)
+    want = np.bincount(np.arange(5000) * 37 % (2 * _sums.PIECE), minlength=2 * _sums.PIECE) * 2**33
+    assert (got == want).all()
+    assert not _sums.summed(spark.range(0), run, "<i8", 2 * _sums.PIECE).any()
 
 
 # ---------------------------------------------------------------- 1
@@ -78,13 +94,28 @@ def leak_rows():
     return items, rows, want
 
 
-@pytest.mark.parametrize("most", [leakage.BROADCAST_LETTERS, 0])
-def test_leaks(spark, most):
+@pytest.mark.parametrize("block", [leakage.BLOCK_LETTERS, 200])
+def test_leaks(spark, block):
     items, rows, want = leak_rows()
-    got = leakage.leaks(texts(spark, rows), df(spark, items, "item_id long, question string"), most_letters=most).collect()
+    got = leakage.leaks(texts(spark, rows), df(spark, items, "item_id long, question string"), block_letters=block).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_half_of_an_item_of_any_length_is_found():
+    r = random.Random(12)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", HAN):
+        draw = lambda n, a=alphabet: "".join(r.choice(a) for _ in range(n))
+        items = {n: draw(n) for n in [*range(16, 64), 100, 201]}
+        index = leakage.Index(list(items.values()), [set()] * len(items), leakage.Params())
+        for i, (n, q) in enumerate(items.items()):
+            for begin in (0, n // 4, n // 2):
+                half = q[begin : begin + -(-n // 2)]
+                points, ends = _text.letters(pa.array([draw(150) + half + draw(150)]))
+                hits = [x for x in index.candidates(points, ends).tolist() if x[1] == i]
+                assert hits, (n, begin)
+                assert len(half) < n / 2 or any(index.holds(i, index.window(points, 0, ends[1], i, x[2], x[3])) for x in hits), (n, begin)
+
+
 def test_leaks_of_nothing(spark):
     none = texts(spark, []).where("false")
     assert leakage.leaks(none, df(spark, [(1, han(60, 1))], "item_id long, question string")).count() == 0
@@ -108,6 +139,28 @@ def test_looks(spark, most):
     assert canon["t", "o4"] == canon["t", "o5"] == "Кремль стоит" and canon["t", "o7"] is None
 
 
+def test_tries_decide_letters_of_other_alphabets(spark):
+    rows = [("t", "a", "a cope with"), ("t", "b", "a сope with"), ("t", "c", "a cоpe with"), ("t", "d", "сор и вор"), ("t", "e", "сoр и вор"), ("t", "f", "naïve Ｎote"), ("t", "g", "naïve Note"), ("t", "h", "ab​c"), ("t", "i", "abc")]
+    got = {tuple(r)[1:] for r in lookalike.look_pairs(texts(spark, rows)).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("f", "g"), ("h", "i")}
+    table = {tuple(r)[1:] for r in lookalike.look_pairs(texts(spark, rows), tries=False).collect()}
+    assert table == {("f", "g"), ("h", "i")}
+    canon = {r.row_id: r.canonical for r in lookalike.normalize(texts(spark, rows)).collect()}
+    assert canon["b"] == canon["c"] == "a cope with" and canon["e"] == "сор и вор"
+
+
+def test_every_pair_of_a_large_class_can_be_rebuilt(spark):
+    rows = [("t", f"a{i:04}", "same") for i in range(3000)] + [("t", f"b{i:04}", "sаme") for i in range(1900)] + [("t", f"c{i:03}", "sam​" + "​" * i + "e") for i in range(100)]
+    t = texts(spark, rows)
+    m = lookalike.look_members(t).collect()
+    assert len(m) == 5000 and len({x.look_id for x in m}) == 1
+    of = {x.row_id: x.string_id for x in m}
+    size = {s: sum(v == s for v in of.values()) for s in set(of.values())}
+    assert len(size) == 102 and all(x.links == 5000 - size[x.string_id] for x in m)
+    linked = {tuple(sorted((of[x.id_a], of[x.id_b]))) for x in lookalike.look_pairs(t).collect()}
+    assert linked == set(itertools.combinations(sorted(size), 2))
+
+
 def test_edit_automaton_matches_brute_force():
     t = lookalike.Trie(["café", "cafe", "сор", "fine", "ab​c"])
     assert t.find("сafé") == {"café": 0} and set(t.find("cop")) == {"сор"} and set(t.find("ﬁne")) == {"fine"} and set(t.find("abc")) == {"ab​c"}
@@ -158,6 +211,26 @@ def test_features_match_plain_python():
     assert x["common"] == pytest.approx((3 + 1) / (7 + 3)) and not quality.features(pa.array([None, ""])).any()
 
 
+def test_quality_on_forms_without_an_example(spark):
+    r = random.Random(5)
+    words = "harvest engine violin customs orchard pilot velvet glacier ribbon copper".split()
+    prose = ["When the ferry left the island, most of the fishermen were still asleep in their small houses.", "She kept a diary for many years, but nobody in the family had ever seen a single page of it.", "The committee met again on Monday and agreed that the road should be finished before winter.", "他们沿着河岸走了很久，直到太阳下山才回到村子里，大家都觉得这一天过得很快。", "这本书的作者年轻时在海边住过几年，所以书里常常提到渔船和风浪。"]
+    roman = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    text = {}
+    for i in range(30):
+        text[f"p{i}"] = " ".join(r.sample(prose[:3], 3) + r.sample(prose[:3], 2)) if i % 2 else "".join(r.choice(prose[3:]) for _ in range(4))
+        text[f"m{i}"] = " ".join(r.choice(prose[:3]) for _ in range(6)) + "\n- " + "\n- ".join(some(3)) + "\n" + " ".join(r.choice(prose[:3]) for _ in range(4))
+        text[f"l{i}"] = "\n".join(f"{roman[j]}) {w} {r.choice(words)}" for j, w in enumerate(some(10)))
+        text[f"t{i}"] = "\n".join("\t|\t".join([w, str(r.randrange(900)), f"{r.random():.3f}"]) for w in some(12))
+        text[f"j{i}"] = "".join(r.choice("qzxkj#%&@~^0987") for _ in range(240))
+    got = {x.doc_id: x.natural for x in quality.mark(df(spark, [(k, v, None) for k, v in text.items()], "doc_id string, text string, quality_prior double")).collect()}
+    marked = {k for k, v in got.items() if v < 0.5}
+    true = {k for k in text if k[0] in "ltj"}
+    assert len(marked & true) / len(marked) > 0.95
+    assert {k for k in text if k[0] in "lt"} <= marked  # unbroken strings of letters and signs, the form j, can pass as code
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -192,6 +265,32 @@ def test_overlaps_of_many_copies(spark):
     assert {e for e, _ in got} == {f"e{i:03}" for i in range(60)} and {t for _, t in got} == {f"t{i:03}" for i in range(60)} and len(got) < 200
 
 
+def test_overlap_members_rebuild_every_pair(spark):
+    import json
+
+    rows = [(f"e{i:03}", True, json.dumps({"ancient": han(60, 40 + i % 2)})) for i in range(60)] + [(f"t{i:03}", False, json.dumps({"ancient": han(60, 40 + i % 3)})) for i in range(60)]
+    t = df(spark, rows, "row_id string, evaluation boolean, payload string")
+    m, pairs = crosssplit.overlap_members(t).collect(), crosssplit.overlap_passages(t).collect()
+    own = {side: {} for side in (True, False)}
+    for x in m:
+        own[x.evaluation].setdefault(x.passage, set()).add(x.row_id)
+    assert {(e, t) for p in pairs for e in own[True][p.eval_passage] for t in own[False][p.train_passage]} == {(f"e{i:03}", f"t{j:03}") for i in range(60) for j in range(60) if i % 2 == j % 3}
+    assert all(x.links == 1 for x in m)
+
+
+def test_hot_shingles_are_split_without_loss(spark, monkeypatch):
+    rows, want = records()
+    monkeypatch.setattr(crosssplit, "_splits", lambda counts: np.full(len(counts), 3, np.int32))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(crosssplit)
+    try:
+        got = {tuple(r) for r in crosssplit.overlaps(df(spark, rows, "row_id string, evaluation boolean, payload string")).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(crosssplit)
+    assert got == want
+
+
 def test_cut_json_keeps_its_passages():
     assert crosssplit.passages('{"messages": [{"role": "user", "content": "a\\u4e00b"}, {"content": "c\\u4e', True) == ["a一b", "c"]
     assert crosssplit.passages('{"ancient": "x", "messages": 3}', True) in (["x"], ["x", ]) and crosssplit.passages("", True) == []

@@ -177,17 +177,38 @@ def verdict(text: Column) -> Column:
     return F.when(last.isin("Y", "N"), last)
 
 
+#: How an answer states its option, in the order in which they are tried, with the group that names it.
+CHOICE_STATED = (
+    (r"答案(选项)?(是|为)：? ?([ABCD])", 3),
+    (r"答案(是|为)选项 ?([ABCD])", 2),
+    (r"故?选择?：? ?([ABCD])", 1),
+    (r"([ABCD]) ?选?项(是|为)?正确", 1),
+    (r"正确的?选项(是|为) ?([ABCD])", 2),
+    (r"答案(应该)?(是|为)([ABCD])", 3),
+    (r"选项 ?([ABCD]) ?(是|为)?正确", 1),
+    (r"选择答案 ?([ABCD])", 1),
+    (r"答案?：?([ABCD])", 1),
+    (r"([ABCD])(选?项)?是?符合题意", 1),
+    (r"答案选项：? ?([ABCD])", 1),
+    (r"答案(选项)?为(.*?)([ABCD])", 3),
+    (r"content=(.*?)([ABCD])(.*?)", 2),
+)
+CHOICE_AFTER = ("当选", "正确")
+CHOICE_WEAK = r"[^不]是：? ?([ABCD])"
+
+
 def choice(text: Column) -> Column:
-    """The option A to D that an answer names, Z if none.
+    """The option A to D that an answer names, Z if none, also for null.
 
-    Patterns in falling order: a stated answer, a boxed or bracketed letter, a letter that opens the text, the
-    only letter that stands alone.
+    In falling order: a letter that opens the text; the stated patterns; the last letter before a word that
+    picks it, from the first letter that such a word follows on its line; the weak pattern; the only letter
+    in the text. A line ends with a line feed only.
     """
-    stated = F.regexp_extract(text, r"(?i:答案|正确选项|选项|answer|choose|选择?)(?:\s*(?i:应该|应|is|为|是|：|:))*\s*[\(（\[【“\"]?\s*([A-D])(?![A-Za-z])", 1)
-    boxed = F.regexp_extract(text, r"boxed\{\s*([A-D])\s*\}|[\(（\[【]\s*([A-D])\s*[\)）\]】]", 0)
-    opening = F.regexp_extract(text, rf"\A[{BLANKS}\n]*([A-D])(?![A-Za-z])", 1)
-    alone = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z])([A-D])(?![A-Za-z])"), F.lit(1)))
-    return F.coalesce(F.nullif(stated, F.lit("")), F.nullif(F.regexp_extract(boxed, "[A-D]", 0), F.lit("")), F.nullif(opening, F.lit("")), F.when(F.size(alone) == 1, alone[0]), F.lit("Z"))
+    found = lambda pattern, group: F.nullif(F.regexp_extract(text, "(?d)" + pattern, group), F.lit(""))
+    tried = [found(r"\A([ABCD])", 1), *(found(p, g) for p, g in CHOICE_STATED)]
+    tried += [F.nullif(F.regexp_extract(F.regexp_extract(text, f"(?d)[ABCD].*?{word}", 0), "(?d).*([ABCD])", 1), F.lit("")) for word in CHOICE_AFTER]
+    letters = F.regexp_replace(text, "[^ABCD]+", "")
+    return F.coalesce(*tried, found(CHOICE_WEAK, 1), F.when(F.length(letters) == 1, letters), F.lit("Z"))
 
 
 def repeated_gram_share(tokens: Column, k: int = 4) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions import text as T
 
-#: Least length by quality profile; suffixes of code and of structured files.
+#: Least length by quality profile; suffixes of code and of structured files; technical signs; marks of damage.
 MINIMUM = {"curated_zh": 20, "curated_en": 50, "web_zh": 80, "web_multilingual": 80, "broad_zh": 20, "code": 20, "math": 80, "scientific": 200, "classical": 10}
 CODE_SUFFIXES = (".py", ".js", ".ts", ".java", ".c", ".cc", ".cpp", ".h", ".hpp", ".go", ".rs", ".sh", ".sql")
 STRUCTURED_SUFFIXES = (".json", ".yaml", ".yml", ".toml", ".xml", ".md", ".rst")
@@ -30,6 +36,35 @@ def domain(stated: Column, path: Column, text: Column) -> Column:
     return F.when(suffix.isin(*CODE_SUFFIXES), "code").when(suffix.isin(*STRUCTURED_SUFFIXES), "structured").when(text.rlike(T.MATH), "math").otherwise(stated)
 
 
+def _normal(text: str) -> str:
+    """The same as ``text.normalize_text``."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    text = _HIDDEN.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    return _LINE_END.sub(r"\1", text).strip(_ENDS)
+
+
+_BLANKS = "\t\x0b\x0c \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ENDS = _BLANKS + "\n"
+_LINE_END = re.compile(f"[{_BLANKS}]+(\n|\\Z)")
+_HIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200d\u2060\ufeff]+")
+
+
+def normalized(docs: DataFrame) -> DataFrame:
+    """``docs`` with its ``text`` normalised in one Arrow pass; null texts become empty.
+
+    Unlike a column expression the pass is done once, whatever filters on derived columns follow.
+    """
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            new = pa.array([_normal(x) if x else "" for x in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], new, *batch.columns[at + 1 :]], batch.schema.names)
+
+    return docs.mapInArrow(run, StructType.fromJson(docs.schema.jsonValue()))
+
+
 def clean_and_tag(docs: DataFrame, profiles: dict[str, str], traditional: tuple[str, ...] = (), classical: tuple[str, ...] = ()) -> DataFrame:
     """Normalised text, counts, language, domain, tags and ``reject_reason`` (null where a row is accepted).
 
@@ -37,7 +72,7 @@ def clean_and_tag(docs: DataFrame, profiles: dict[str, str], traditional: tuple[
     minimum of the source's quality profile), low_printable_ratio (below 0.98), missing_license. A null text is
     too short. Tags are sorted.
     """
-    t = docs.withColumn("text", F.coalesce(T.normalize_text(F.col("text")), F.lit("")))
+    t = normalized(docs)
     profile = F.create_map(*(F.lit(x) for kv in profiles.items() for x in kv)) if profiles else F.create_map().cast("map<string,string>")
     minimum = F.create_map(*(F.lit(x) for kv in MINIMUM.items() for x in kv))
     least = F.coalesce(minimum[profile[F.col("source")]], F.lit(20))
@@ -142,6 +177,39 @@ def message_reject(messages: Column) -> Column:
     )
 
 
+def overlength(size: Column, target: Column, most: int) -> Column:
+    """Why a training row is left out, or null: too_long (more than ``most``), else no_target (nothing to learn from)."""
+    return F.when(size > most, "too_long").when(F.coalesce(target, F.lit(0)) <= 0, "no_target")
+
+
+def audit_flags(task: Column, source: Column, target: Column, messages: Column) -> Column:
+    """Structural flags of a task pair and its messages, in order; an empty array where nothing is odd.
+
+    Null sources and targets count as empty, null messages as none.
+    """
+    source, target = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
+    empty = F.array().cast("array<struct<role:string,content:string>>")
+    messages = F.coalesce(messages, empty)
+    content = F.transform(messages, lambda m: F.coalesce(m["content"], F.lit("")))
+    roles = F.transform(messages, lambda m: m["role"])
+    first, last = F.coalesce(F.get(content, F.lit(0)), F.lit("")), F.coalesce(F.get(content, F.size(content) - 1), F.lit(""))
+    same = T.unpunctuated(source) == T.unpunctuated(target)
+    ratio = F.length(target) / F.greatest(F.length(source), F.lit(1))
+    blank = lambda c: F.regexp_replace(c, rf"[{T.BLANKS}\n\r]+", "") == ""
+    punctuate = F.coalesce(task == "punctuate", F.lit(False))
+    return F.array_compact(
+        F.array(
+            F.when(~F.coalesce(roles == F.array(F.lit("user"), F.lit("assistant")), F.lit(False)), "unexpected_message_roles"),
+            F.when(~first.endswith(source) | (last != target), "metadata_message_mismatch"),
+            F.when(blank(source) | blank(target), "empty_pair"),
+            F.when(punctuate & ~same, "punctuation_changes_characters"),
+            F.when(punctuate & target.rlike(r"\A\p{P}"), "leading_punctuation_review"),
+            F.when(~punctuate & same, "translation_copies_source_review"),
+            F.when(~punctuate & ((ratio > 3) | (ratio < 0.33)), "length_ratio_review"),
+        )
+    )
+
+
 def has_target(labels: Column, ignore: int = -100) -> Column:
     """Whether any label after the first is not the ignored one."""
     return F.exists(F.slice(labels, 2, F.greatest(F.size(labels), F.lit(1))), lambda x: x != ignore)

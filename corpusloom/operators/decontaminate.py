@@ -6,19 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.session import materialize, row_bytes
+from corpusloom.session import materialize, small
 
 CHARS, WORDS = 32, 13
-#: A written index up to this many rows and compressed bytes is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """An index written once, so that its size is measured and not estimated, and broadcast if it is small."""
-    written = materialize(df, "index")
-    return F.broadcast(written) if row_bytes(written) <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS else written
-
-
 def char_windows(text: Column) -> Column:
     return T.char_grams(T.compact(text), CHARS)
 
@@ -50,7 +40,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     kind = F.when(F.col("wide"), "chars").otherwise("words")
     probes = t.select("doc_id", kind.alias("kind"), F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
     whole = t.select("doc_id", F.lit("exact").alias("kind"), F.xxhash64(T.content_hash(F.col("text"))).alias("h"))
-    hits = whole.unionByName(probes).join(_small(index), ["kind", "h"], "left_semi").groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("exact", "chars", "words")))
+    hits = whole.unionByName(probes).join(small(index), ["kind", "h"], "left_semi").groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("exact", "chars", "words")))
     reason = F.when(F.col("exact") > 0, "exact").when(F.col("chars") >= 2, "chars").when(F.col("words") >= 1, "words")
     return hits.select("doc_id", reason.alias("reason")).where("reason is not null")
 
@@ -67,10 +57,24 @@ def contained_passages(texts: DataFrame, passages: DataFrame, anchor: int = 24)
     is then looked up in the text.
     """
     flat = lambda c: T.compact(T.nfkc_casefold(c))
-    p = passages.select("item_id", flat(F.col("text")).alias("p")).where(F.length("p") >= anchor).select("item_id", "p", F.substring("p", 1, anchor).alias("g"))
+    p = passages.select("item_id", flat(F.col("text")).alias("p")).where(F.length("p") >= anchor).select("item_id", "p", F.lit(anchor).alias("k"))
     t = texts.select("row_id", flat(F.col("text")).alias("t"))
-    hits = t.select("row_id", "t", F.explode(F.array_distinct(T.char_grams(F.col("t"), anchor))).alias("g")).join(_small(p), "g")
-    return hits.where(F.col("t").contains(F.col("p"))).select("row_id", "item_id").distinct()
+    return _containing(t, p, "item_id", [anchor]).select("row_id", "item_id").distinct()
+
+
+def _containing(texts: DataFrame, passages: DataFrame, name: str, sizes: list[int]) -> DataFrame:
+    """(row_id, ``name``) of the ``texts (row_id, t)`` that contain all of a passage of ``passages (name, p, k)``.
+
+    A passage's first ``k`` characters (one of ``sizes``) are looked up among the texts' windows of that length.
+    Only numbers and hashes are exploded and shuffled; the texts of the windows found come in afterwards, once each.
+    """
+    t = materialize(texts.where("t is not null").select(F.xxhash64("row_id", "t").alias("__t"), "row_id", "t").dropDuplicates(["__t", "row_id"]), "texts")
+    p = materialize(passages.select(F.xxhash64(name, "p").alias("__p"), name, "p", "k").distinct(), "passages")
+    hashed = lambda k: F.transform(T.char_grams(F.col("t"), k), lambda g: F.xxhash64(g, F.lit(k)))
+    windows = F.flatten(F.array(*map(hashed, sizes))) if sizes else F.array().cast("array<bigint>")
+    heads = p.select("__p", F.xxhash64(F.left("p", F.col("k")), F.col("k").cast("int")).alias("h"))
+    found = t.select("__t", F.explode(F.array_distinct(windows)).alias("h")).join(small(heads), "h").select("__t", "__p").distinct()
+    return found.join(t, "__t").join(p, "__p").where(F.col("t").contains(F.col("p"))).select("row_id", name)
 
 
 def shared_spans(texts: DataFrame, passages: DataFrame, span: int = 24, step: int = 12) -> DataFrame:
@@ -81,7 +85,7 @@ def shared_spans(texts: DataFrame, passages: DataFrame, span: int = 24, step: in
     at = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last)))
     anchors = p.select("item_id", F.explode(F.transform(at, lambda i: F.substring("p", i, F.lit(span)))).alias("g")).distinct()
     t = texts.select("row_id", F.explode(F.array_distinct(T.char_grams(flat(F.col("text")), span))).alias("g"))
-    return t.join(_small(anchors), "g").select("row_id", "item_id").distinct()
+    return t.join(small(anchors), "g").select("row_id", "item_id").distinct()
 
 
 def locate(passages: DataFrame, chapters: DataFrame, key: int = 16) -> DataFrame:
@@ -90,12 +94,12 @@ def locate(passages: DataFrame, chapters: DataFrame, key: int = 16) -> DataFrame
     The passage's first ``key`` characters (all of a shorter one; fewer than three have no chapter) are looked up
     among the chapters' windows of that length, then the whole passage in the chapter.
     """
-    p = passages.select("row_id", T.unpunctuated(F.col("text")).alias("p")).where(F.length("p") >= 3).withColumn("k", F.least(F.length("p"), F.lit(key))).withColumn("g", F.substring(F.col("p"), F.lit(1), F.col("k")))
-    c = chapters.select("chapter_id", T.unpunctuated(F.col("text")).alias("c"))
-    sizes = [r[0] for r in p.select("k").distinct().collect()]  # at most ``key`` lengths
-    grams = F.flatten(F.array(*(T.char_grams(F.col("c"), k) for k in sizes))) if sizes else F.array().cast("array<string>")
-    hits = c.select("chapter_id", "c", F.explode(F.array_distinct(grams)).alias("g")).join(p, "g")
-    return hits.where(F.col("c").contains(F.col("p"))).select("row_id", "chapter_id").distinct()
+    p = passages.select("row_id", T.unpunctuated(F.col("text")).alias("p")).where(F.length("p") >= 3).withColumn("k", F.least(F.length("p"), F.lit(key)))
+    p = materialize(p, "wanted")
+    sizes = sorted(r[0] for r in p.select("k").distinct().collect())  # at most ``key`` lengths
+    c = chapters.select(F.col("chapter_id").alias("row_id"), T.unpunctuated(F.col("text")).alias("t"))
+    found = _containing(c, p.withColumnRenamed("row_id", "passage"), "passage", sizes)
+    return found.select(F.col("passage").alias("row_id"), F.col("row_id").alias("chapter_id")).distinct()
 
 
 def boundary_conflicts(train: DataFrame, dev: DataFrame, least: int = 8, span: int = 24) -> DataFrame:

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.graph import components
-from corpusloom.session import materialize
+from corpusloom.session import materialize, small
+
+#: Rows of one content from which it is joined by broadcast.
+HOT = 100_000
 
 #: Rank of a source by its quality profile.
 PROFILE_RANK = {"curated_zh": 0, "curated_en": 0, "classical": 1, "scientific": 1, "math": 1, "code": 1, "web_zh": 2, "web_multilingual": 2, "broad_zh": 3}
@@ -39,11 +42,24 @@ def exact_representatives(docs: DataFrame, rank: Column) -> DataFrame:
 
     Kept is the least (rank, -quality_prior with null last, -length, doc_id). Only the hash, the id and three
     numbers are shuffled, and they are combined before the shuffle, so a text that a third of all rows share
-    costs one row per map task. Null texts are left out.
+    costs one row per map task. Contents of more than HOT rows are then joined by broadcast, in as many tasks as
+    their rows are read; there is at most one of them per HOT rows. Null texts are left out.
     """
-    narrow = docs.where("text is not null").select("doc_id", T.content_hash(F.col("text")).alias("content_sha256"), rank.alias("r"), (-F.coalesce("quality_prior", F.lit(-1e30))).alias("q"), (-F.length("text")).alias("n"))
-    best = narrow.groupBy("content_sha256").agg(F.min(F.struct("r", "q", "n", "doc_id")).alias("k")).select("content_sha256", F.col("k.doc_id").alias("kept_doc_id"))
-    return narrow.select("doc_id", "content_sha256").join(best, "content_sha256").select("doc_id", "content_sha256", "kept_doc_id")
+    narrow = materialize( docs.where("text is not null").select("doc_id", T.content_hash(F.col("text")).alias("content_sha256"), rank.alias("r"), (-F.coalesce("quality_prior", F.lit(-1e30))).alias("q"), (-F.length("text")).alias("n")), "hashes")
+    best = narrow.groupBy("content_sha256").agg(F.min(F.struct("r", "q", "n", "doc_id")).alias("k"), F.count("*").alias("rows"))
+    best = materialize(best.select("content_sha256", F.col("k.doc_id").alias("kept_doc_id"), "rows"), "kept")
+    hot = small(best.where(F.col("rows") > HOT).select("content_sha256", F.col("kept_doc_id").alias("__hot")))
+    x = narrow.select("doc_id", "content_sha256").join(hot, "content_sha256", "left")
+    cold = x.where("__hot is null").drop("__hot").join(best.where(F.col("rows") <= HOT).drop("rows"), "content_sha256")
+    return cold.select("doc_id", "content_sha256", "kept_doc_id").unionByName(x.where("__hot is not null").withColumnRenamed("__hot", "kept_doc_id").select("doc_id", "content_sha256", "kept_doc_id"))
+
+
+def rounds_removals(rounds: list[DataFrame], rank: Column) -> DataFrame:
+    """Exact removals over the candidates of all rounds, earlier and present: a copy in a later round meets the kept one of any round."""
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+    return exact_removals(every, rank)
 
 
 def exact_removals(docs: DataFrame, rank: Column) -> DataFrame:
@@ -121,6 +137,13 @@ def minhash_clusters(docs: DataFrame, bands: int = 14, threshold: float = 0.8, s
     return docs.select("doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("cluster"))
 
 
+def near_clusters(docs: DataFrame, exact_only: tuple[str, ...] = (), **kw) -> DataFrame:
+    """(doc_id, cluster) by MinHash; documents of a profile in ``exact_only`` are clusters of their own, as exact deduplication left them."""
+    only = F.col("profile").isin(*exact_only) if exact_only else F.lit(False)
+    only = F.coalesce(only, F.lit(False))
+    return minhash_clusters(docs.where(~only), **kw).unionByName(docs.where(only).select("doc_id", F.col("doc_id").alias("cluster")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 4, k: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(pairs (id_a, id_b, jaccard), classes (doc_id, class)) of verified near duplicates.
 
@@ -180,9 +203,10 @@ def two_key_greedy(rows: DataFrame, group: str, key_a: str, key_b: str, order: l
 
     A refused row holds no key, so this is not two independent filters. It is solved in rounds: a row that comes
     first among the open rows of both keys is taken, rows that share a key with it are refused, the others stay
-    open. Null keys are never held. Ties in ``order`` are broken by both keys.
+    open. Null keys are never held. Ties in ``order`` are broken by both keys, then by a hash of the whole row, so
+    the result does not depend on the partitioning.
     """
-    x = rows.withColumn("__o", F.struct(*order, F.coalesce(key_a, F.lit("")).alias("__a"), F.coalesce(key_b, F.lit("")).alias("__b"), F.monotonically_increasing_id().alias("__i")))
+    x = rows.withColumn("__o", F.struct(*order, F.coalesce(key_a, F.lit("")).alias("__a"), F.coalesce(key_b, F.lit("")).alias("__b"), F.xxhash64(*rows.columns).alias("__h"), F.monotonically_increasing_id().alias("__i")))
     open_, taken = materialize(x, "open"), None
     while True:
         a = open_.groupBy(group, key_a).agg(F.min("__o").alias("__fa"))

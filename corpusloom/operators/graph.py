@@ -10,9 +10,10 @@ from corpusloom.session import materialize
 
 def _flatten(parent: DataFrame) -> DataFrame:
     """(node, root) of a forest of (node, root) pointers, by pointer doubling."""
+    last = None
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        parent = materialize(parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "jump")
+        last = parent = materialize(parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "jump", last)
         if parent.where("moved").isEmpty():
             return parent.drop("moved")
         parent = parent.drop("moved")

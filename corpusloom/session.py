@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,13 +44,16 @@ def spread(df: DataFrame, least_bytes: int = 2 << 20) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session's spark.checkpoint.dir names it.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set for the session.
+    Where the setting is absent, a session on one machine (tests) gets a temporary folder; on a cluster, where no
+    other machine would see such a folder, it is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -70,18 +73,34 @@ def _own_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", replaces: DataFrame | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back, which cuts its lineage.
 
     Unlike a cached or locally checkpointed frame the copy survives the loss of executors, and as
-    parquet it keeps column pruning and statistics for the steps that read it.
+    parquet it keeps column pruning and statistics for the steps that read it. A loop passes the copy of
+    its last round as ``replaces``; that is deleted once the new one is written.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(replaces._corpusloom_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusloom_path = path
+    return out
 
 
 def row_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes; of a written table it is the file size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: A written table up to this many rows and compressed bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table written once, so that its size is measured and not estimated, and broadcast if it is small."""
+    written = materialize(df, "index")
+    return functions.broadcast(written) if row_bytes(written) <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS else written

@@ -181,6 +181,38 @@ def flt17_conversation_rejects(spark, d):
     return adapters.conversations(table(spark, d, "pool")).select("pool_id", clean.message_reject(F.col("messages")).alias("reason"))
 
 
+_MESSAGES = """from_json(json_extract(CASE WHEN json_valid(payload) THEN payload::JSON END, '$.messages'), '[{"role":"VARCHAR","content":"VARCHAR"}]')"""
+
+
+@query(f"SELECT pool_id, CASE WHEN n > 300 THEN 'too_long' WHEN coalesce(k, 0) <= 0 THEN 'no_target' END AS reason FROM (SELECT pool_id, coalesce(list_sum([length(coalesce(x.content, '')) FOR x IN ms]), 0) AS n, list_sum([CASE WHEN x.role = 'assistant' THEN length(coalesce(x.content, '')) ELSE 0 END FOR x IN ms]) AS k FROM (SELECT pool_id, {_MESSAGES} AS ms FROM pool))")
+def flt19_overlength(spark, d):
+    m = adapters.conversations(table(spark, d, "pool")).select("pool_id", F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")).alias("m"))
+    size = lambda f: F.aggregate("m", F.lit(0), lambda a, x: a + F.when(f(x), F.length(F.coalesce(x["content"], F.lit("")))).otherwise(0))
+    return m.select("pool_id", clean.overlength(size(lambda x: F.lit(True)), size(lambda x: F.coalesce(x["role"] == "assistant", F.lit(False))), 300).alias("reason"))
+
+
+def _audit_unp(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '[{WS}\r\n\x{{1C}}-\x{{1F}}]+', '', 'g'), '\p{{P}}+', '', 'g')"
+
+
+@query(
+    rf"""WITH p AS (SELECT id, task, payload, {_MESSAGES} AS ms, json_extract_string(CASE WHEN json_valid(payload) THEN payload::JSON END, '$.ancient') AS a, json_extract_string(CASE WHEN json_valid(payload) THEN payload::JSON END, '$.modern') AS m FROM eligible),
+    q AS (SELECT id, coalesce(task = 'punctuate', false) AS pu, coalesce(ms, []) AS ms, coalesce(CASE WHEN task = 'punctuate' THEN {_audit_unp("a")} WHEN task = 'm2c' THEN m ELSE a END, '') AS s, coalesce(CASE WHEN task = 'punctuate' OR task = 'm2c' THEN a ELSE m END, '') AS t FROM p),
+    r AS (SELECT *, {_audit_unp("s")} = {_audit_unp("t")} AS same, length(t) / greatest(length(s), 1) AS ratio FROM q)
+    SELECT DISTINCT id, array_to_string(list_filter([CASE WHEN NOT coalesce([x.role FOR x IN ms] = ['user', 'assistant'], false) THEN 'unexpected_message_roles' END,
+      CASE WHEN NOT ends_with(coalesce(ms[1].content, ''), s) OR coalesce(ms[-1].content, '') <> t THEN 'metadata_message_mismatch' END,
+      CASE WHEN regexp_replace(s, '[{WS}\n\r]+', '', 'g') = '' OR regexp_replace(t, '[{WS}\n\r]+', '', 'g') = '' THEN 'empty_pair' END,
+      CASE WHEN pu AND NOT same THEN 'punctuation_changes_characters' END, CASE WHEN pu AND regexp_matches(t, '\A\p{{P}}') THEN 'leading_punctuation_review' END,
+      CASE WHEN NOT pu AND same THEN 'translation_copies_source_review' END, CASE WHEN NOT pu AND (ratio > 3 OR ratio < 0.33) THEN 'length_ratio_review' END], lambda x: x IS NOT NULL), ',') AS flags FROM r"""
+)
+def flt21_audit_flags(spark, d):
+    p = F.from_json(F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")), "ancient string, modern string, messages array<struct<role:string,content:string>>")
+    x = table(spark, d, "eligible").select("id", "task", p.alias("p")).select("id", "task", "p.*")
+    source = F.when(F.col("task") == "punctuate", T.unpunctuated(F.col("ancient"))).when(F.col("task") == "m2c", F.col("modern")).otherwise(F.col("ancient"))
+    target = F.when(F.col("task").isin("punctuate", "m2c"), F.col("ancient")).otherwise(F.col("modern"))
+    return x.select("id", F.array_join(clean.audit_flags(F.col("task"), source, target, F.col("messages")), ",").alias("flags")).distinct()
+
+
 @query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50")
 def flt22_first_per_channel(spark, d):
     return sel.first_n(table(spark, d, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")], 50)
@@ -210,6 +242,21 @@ def dup4_exact_kept(spark, d):
     return dedup.exact_kept(table(spark, d, "adapted_record"), dedup.source_rank(F.col("source"), PROFILES)).groupBy("source").agg(F.count("*").alias("docs"))
 
 
+@query(f"WITH {_KEPT} SELECT DISTINCT * FROM kept WHERE doc_id <> kept_doc_id")
+def dup5_rounds(spark, d):
+    """Exact removals over two rounds of candidates: what was loaded by the end of 2024, and the rest."""
+    t = table(spark, d, "adapted_record")
+    early = F.coalesce(F.col("loaded_at") < F.lit("2025-01-01").cast("timestamp"), F.lit(False))
+    return dedup.rounds_removals([t.where(early), t.where(~early)], dedup.source_rank(F.col("source"), PROFILES)).distinct()
+
+
+@query("SELECT DISTINCT doc_id, doc_id AS cluster FROM adapted_record WHERE text IS NOT NULL AND NOT coalesce(trim(lower(domain)) IN ('code', 'structured'), false)")
+def dup10_exact_only(spark, d):
+    """The clusters of the profiles that stop at exact deduplication: each document is its own."""
+    t = table(spark, d, "adapted_record").where("text is not null").select("doc_id", "text", dedup.minhash_profile(F.trim(F.lower("domain")), F.when(F.lower("language").startswith("zh"), "zh").otherwise(F.lower("language"))).alias("profile"))
+    return dedup.near_clusters(t.where("profile <> 'code'"), ("zh", "en"))
+
+
 @query(rf"SELECT id, CASE WHEN length(t) < 5 THEN 0 ELSE len(list_distinct([substr(t, i, 5) FOR i IN range(1, length(t) - 3)])) END AS shingles FROM (SELECT id, regexp_replace(text, '[{WS}\r\n\x{{1C}}-\x{{1F}}]+', '', 'g') AS t FROM near_texts WHERE text IS NOT NULL)")
 def dup7_shingles(spark, d):
     return table(spark, d, "near_texts").where("text is not null").select("id", F.size(dedup.shingles(F.col("text"), F.lit("zh"))).alias("shingles"))
@@ -227,18 +274,11 @@ def dup14_near_duplicates(spark, d):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'b:' || book AS b, 'd:' || doc AS d FROM eligible WHERE book IS NOT NULL AND doc IS NOT NULL AND length(book) > 4),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'b:' || book AS b, 'd:' || doc AS d FROM eligible WHERE book IS NOT NULL AND doc IS NOT NULL),
     l AS (SELECT b AS u, d AS v FROM e UNION SELECT d, b FROM e), r AS (SELECT u AS node, u AS c FROM l UNION SELECT l.v, r.c FROM r JOIN l ON r.node = l.u)
     SELECT node, min(c) AS component FROM r GROUP BY node"""
 )
 def dup15_components(spark, d):
-    e = table(spark, d, "eligible").where("book is not null and doc is not null and length(book) > 4").selectExpr("'b:' || book AS u", "'d:' || doc AS v").distinct()
-    return graph.components(e)
-
-
-@query()
-def dup15_all_components(spark, d):
-    """The components over all edges; dup15_components and its SQL leave out titles of up to four characters."""
     e = table(spark, d, "eligible").where("book is not null and doc is not null").selectExpr("'b:' || book AS u", "'d:' || doc AS v").distinct()
     return graph.components(e)
 
@@ -311,12 +351,12 @@ def dup13_shared_spans(spark, d):
 
 
 @query(
-    rf"""WITH p AS (SELECT id AS row_id, {_UNP} AS p FROM near_texts WHERE text IS NOT NULL), c AS (SELECT doc_id AS chapter_id, {_UNP} AS c FROM documents WHERE text IS NOT NULL AND source = 'guji_scrolls')
+    rf"""WITH p AS (SELECT id AS row_id, {_UNP} AS p FROM near_texts WHERE text IS NOT NULL), c AS (SELECT doc_id AS chapter_id, {_UNP} AS c FROM documents WHERE text IS NOT NULL)
     SELECT DISTINCT row_id, chapter_id FROM p JOIN c ON contains(c, p) WHERE length(p) >= 3"""
 )
 def dup21_locate(spark, d):
     p = table(spark, d, "near_texts").where("text is not null").select(F.col("id").alias("row_id"), "text")
-    return decontaminate.locate(p, table(spark, d, "documents").where("text is not null and source = 'guji_scrolls'").select(F.col("doc_id").alias("chapter_id"), "text"))
+    return decontaminate.locate(p, table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chapter_id"), "text"))
 
 
 @query()
@@ -570,7 +610,27 @@ def fn14_repeated_grams(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(T.repeated_gram_share(T.words(F.col("text"))), 9).alias("share"))
 
 
-@query()
+def _stated(x: str) -> str:
+    tried = [rf"regexp_extract({x}, '\A([ABCD])', 1)", *(f"regexp_extract({x}, '{p}', {g})" for p, g in T.CHOICE_STATED)]
+    tried += [f"regexp_extract(regexp_extract({x}, '[ABCD].*?{w}', 0), '.*([ABCD])', 1)" for w in T.CHOICE_AFTER]
+    letters = f"regexp_replace({x}, '[^ABCD]+', '', 'g')"
+    return "coalesce(" + ", ".join(f"nullif({t}, '')" for t in [*tried, f"regexp_extract({x}, '{T.CHOICE_WEAK}', 1)"]) + f", CASE WHEN length({letters}) = 1 THEN {letters} END, 'Z')"
+
+
+@query(f"SELECT doc_id, {_stated('text')} AS choice FROM adapted_record UNION ALL SELECT 'i' || item_id, {_stated('t')} FROM (SELECT item_id, '答案' || (item_id % 3)::VARCHAR || '选择：' || chr((65 + item_id % 5)::INT) || '项正确，' || question AS t FROM benchmark_items)")
+def fn12_choices(spark, d):
+    x = table(spark, d, "adapted_record").select("doc_id", "text")
+    stated = F.concat(F.lit("答案"), (F.col("item_id") % 3).cast("string"), F.lit("选择："), F.chr(65 + F.col("item_id") % 5), F.lit("项正确，"), F.col("question"))
+    y = table(spark, d, "benchmark_items").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("doc_id"), stated.alias("text"))
+    return x.unionByName(y).select("doc_id", T.choice(F.col("text")).alias("choice"))
+
+
+def _loop(x: str) -> str:
+    x = rf"regexp_replace({x}, '[{WS}\r\n\x{{1C}}-\x{{1F}}]+\z', '')"
+    return rf"coalesce(list_bool_or([ends_with({x}, repeat(right({x}, w), greatest(CASE WHEN w = 1 THEN 16 ELSE 4 END, ceil(length({x}) / (2 * w))::BIGINT))) AND regexp_matches(right({x}, w), '[\p{{L}}\p{{N}}]') FOR w IN range(1, least(64, length({x})) + 1)]), false)"
+
+
+@query(f"SELECT doc_id, {_loop('text')} AS loop FROM adapted_record WHERE text IS NOT NULL")
 def fn13_terminal_loops(spark, d):
     return table(spark, d, "adapted_record").where("text is not null").select("doc_id", T.ends_in_loop("text").alias("loop"))
 
@@ -610,15 +670,35 @@ def evl6_set_f1(spark, d):
     return evaluate.set_f1(t, ["split"], "·").select("split", *(F.round(c, 6).alias(c) for c in ("set_p", "set_r", "set_f")))
 
 
+def _levels(x: str) -> str:
+    return f"[regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g') FOR x IN string_split(regexp_replace({x}, '[·/‧]', '·', 'g'), '·')]"
+
+
+@query(f"WITH x AS (SELECT split, {_levels('book')} AS g, {_levels("regexp_replace(coalesce(book, ''), '[《》]', '', 'g')")} AS p FROM eligible) SELECT split, count(*) AS n, round(100 * avg((g[1:1] = p[1:1])::INT), 6) AS level1, round(100 * avg((g[1:2] = p[1:2])::INT), 6) AS level2, round(100 * avg((g = p)::INT), 6) AS whole FROM x GROUP BY split")
+def evl6_level_match(spark, d):
+    t = table(spark, d, "eligible").select("split", F.col("book").alias("gold"), F.regexp_replace("book", "[《》]", "").alias("prediction"))
+    return evaluate.level_match(t, ["split"]).select("split", "n", *(F.round(c, 6).alias(c) for c in ("level1", "level2", "whole")))
+
+
+def _punctuation(x: str) -> str:
+    return rf"list_filter([CASE WHEN regexp_matches(substr({x}, i + 1, 1), '\p{{P}}') THEN substr({x}, i + 1, 1) || length({_audit_unp(f'substr({x}, 1, i)')})::VARCHAR END FOR i IN range(0, length({x}))], lambda z: z IS NOT NULL)"
+
+
+@query(f"WITH t AS (SELECT left(doc, 2) AS subset, text AS a, regexp_replace(text, '，', '。', 'g') AS b FROM near_texts WHERE text IS NOT NULL), x AS (SELECT subset, list_distinct({_punctuation('a')}) AS g, list_distinct({_punctuation('b')}) AS p, {_audit_unp('a')} = {_audit_unp('b')} AS same FROM t), s AS (SELECT subset, sum(CASE WHEN same THEN len(list_intersect(g, p)) ELSE 0 END) AS h, sum(len(p)) AS np, sum(len(g)) AS ng FROM x GROUP BY subset) SELECT subset, round(100 * h / np, 6) AS punctuation_p, round(100 * h / ng, 6) AS punctuation_r, round(200 * (h / np) * (h / ng) / (h / np + h / ng), 6) AS punctuation_f FROM s")
+def evl6_punctuation_f1(spark, d):
+    t = table(spark, d, "near_texts").where("text is not null").select(F.left("doc", F.lit(2)).alias("subset"), F.col("text").alias("gold"), F.regexp_replace("text", "，", "。").alias("prediction"))
+    return evaluate.punctuation_f1(t, ["subset"]).select("subset", *(F.round(c, 6).alias(c) for c in ("punctuation_p", "punctuation_r", "punctuation_f")))
+
+
 @query("WITH x AS (SELECT doc_id, n, unnest(CASE WHEN n <= 512 THEN [0] ELSE range(0, ((n - 512 + 255) // 256)::BIGINT + 1) END) AS i FROM (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 1)) SELECT doc_id, i * 256 AS begin, least(i * 256 + 512, n) AS end, CASE WHEN i = 0 THEN 1 ELSE i * 256 - 256 + 512 END AS scored_from FROM x")
 def evl9_scoring_windows(spark, d):
     return evaluate.scoring_windows(table(spark, d, "documents").withColumn("n", F.length("text")), "n", 512, 256)
 
 
-@query()
+@query(f"WITH x AS (SELECT task, CASE WHEN length(prompt) > 400 THEN 'length' ELSE 'stop' END AS f, trim(coalesce(prompt, '')) = '' AS e, {_loop("coalesce(prompt, '')")} AS l FROM pool) SELECT task, count(*) AS n, round(avg((f = 'stop')::INT), 9) AS stop, round(avg((f = 'length')::INT), 9) AS cut, round(avg(l::INT), 9) AS loop, round(avg(e::INT), 9) AS empty, grouping(task) AS \"all\" FROM x GROUP BY ROLLUP(task)")
 def evl12_health(spark, d):
     t = table(spark, d, "pool").select("task", F.when(F.length("prompt") > 400, "length").otherwise("stop").alias("finish_reason"), F.col("prompt").alias("prediction"))
-    return evaluate.health(t)
+    return evaluate.health(t).withColumns({c: F.round(c, 9) for c in ("stop", "cut", "loop", "empty")})
 
 
 @query()

@@ -4,13 +4,13 @@ import itertools
 import json
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
-from corpusloom.llm import lookalike, subjects
-from corpusloom.operators import decontaminate
+from corpusloom import session
+from corpusloom.functions import text as T
+from corpusloom.operators import clean, decontaminate, dedup
 from corpusloom.operators import select as sel
 
 
@@ -32,18 +32,6 @@ def test_holdout_matches_greedy(spark):
             assert sel.holdout(frame, capacity) == sel.holdout_groups(groups, capacity)
 
 
-def test_looks_of_many_strings(spark):
-    rows = [("t", f"{i:03}", "twelve" + "\u200b" * i) for i in range(12)] + [("t", f"a{i:03}{c}", "twice" + "\u200b" * i) for i in range(12) for c in "xy"]
-    rows += [("u", f"{i:03}", "blocks" + "\u200b" * i) for i in range(lookalike.BLOCK + 44)] + [("v", f"{i:04}", "copies" + "\u200b" * (i % 12)) for i in range(12 * 40)]
-    got = [tuple(r) for r in lookalike.look_pairs(spark.createDataFrame(rows, "src_table string, row_id string, text string")).collect()]
-    want = {(s, x, y) for (s, x, a), (t, y, b) in itertools.combinations(sorted(rows), 2) if s == t and s != "v" and a != b and a.rstrip("\u200b") == b.rstrip("\u200b")}
-    text = {r[:2]: r[2] for r in rows}
-    assert len(got) == len(set(got)) and {p for p in got if p[0] != "v"} == want
-    copies = [p for p in got if p[0] == "v"]  # 40 x 40 members: the strings are paired each with each, copies linked
-    assert {tuple(sorted((text["v", x], text["v", y]))) for _, x, y in copies} == set(itertools.combinations(sorted({r[2] for r in rows if r[0] == "v"}), 2))
-    assert {x for _, *p in copies for x in p} == {r[1] for r in rows if r[0] == "v"} and len(copies) < 12 * 40 + 66
-
-
 BOUNDARY = "row_id string, chapter string, book string, near_group string, translation string, text string"
 
 
@@ -101,19 +89,91 @@ def test_components_by_short_titles(spark, tmp_path):
     for b, d in edges:
         a, z = sorted((find("b:" + b), find("d:" + d)))
         parent[z] = a
-    assert dict(core.queries()["dup15_all_components"](spark, str(tmp_path)).collect()) == {n: find(n) for n in parent}
-
-
-@pytest.mark.parametrize(("exact", "least"), [(1 << 17, 1.0), (1 << 9, 0.9), (1 << 7, 0.9)])
-def test_neighbour_recall(spark, exact, least):
-    r, n = np.random.default_rng(2), 3000
-    x = r.standard_normal((n, subjects.DIMS)) + 0.9 * np.repeat(r.standard_normal((n // 6, subjects.DIMS)), 6, axis=0)
-    x = np.clip(np.round(x / np.sqrt((x * x).sum(1, keepdims=True)) * 500), -127, 127).astype(np.int8)
-    y = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
-    c = y @ y.T
-    np.fill_diagonal(c, -1)
-    p = subjects.Params(bucket=32)  # blocks of 512
-    want = {(i, int(j)) for i in range(n) for j in np.argsort(-c[i])[: p.neighbours] if c[i, j] >= p.cosine}
-    rows = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, vec binary")
-    got = {(e.node, e.other) for e in subjects.neighbours(rows, n, p, exact).collect()}
-    assert len(want) > 10_000 and len(want & got) / len(want) >= least
+    assert dict(core.queries()["dup15_components"](spark, str(tmp_path)).collect()) == {n: find(n) for n in parent}
+
+
+def test_choices_by_every_way(spark):
+    cases = {"B. 因为": "B", "答案是：C": "C", "我认为答案是选项 D": "D", "故选择：A": "A", "所以 C 选项正确": "C", "正确的选项是 B": "B", "答案应该为D": "D", "C符合题意": "C", "答案选项为（其中）B": "B", "content=x D y": "D", "先看A，再看B，C当选": "C", "先说A不对\n由此B 与 C 正确": "C", "应当是：D": "D", "不是：D": "D", "不是：D，是 A": "A", "（C）": "C", "没有": "Z", "": "Z", None: "Z"}
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in cases], "t string").select(T.choice(F.col("t"))).collect()]
+    assert got == list(cases.values())
+
+
+def test_overlength_and_audit(spark):
+    rows = [(1, 5, 2), (2, 11, 2), (3, 5, 0), (4, None, None), (5, 10, 1)]
+    got = dict(spark.createDataFrame(rows, "k int, n int, t int").select("k", clean.overlength(F.col("n"), F.col("t"), 10)).collect())
+    assert got == {1: None, 2: "too_long", 3: "no_target", 4: "no_target", 5: None}
+    m = lambda a, b: [("user", a), ("assistant", b)]
+    cases = [
+        (1, "c2m", "古文", "白话文", m("译：古文", "白话文"), []), (2, "c2m", "古文", "古文。", m("古文", "古文。"), ["translation_copies_source_review"]), (3, "punctuate", "古文也", "，古文", m("古文也", "，古文"), ["punctuation_changes_characters", "leading_punctuation_review"]),
+        (4, "c2m", "古", "很长的白话文", m("古", "别的"), ["metadata_message_mismatch", "length_ratio_review"]), (5, None, None, " ", None, ["unexpected_message_roles", "metadata_message_mismatch", "empty_pair", "translation_copies_source_review"]),
+    ]
+    x = spark.createDataFrame([c[:5] for c in cases], "k int, task string, s string, t string, m array<struct<role:string,content:string>>")
+    got = dict(x.select("k", clean.audit_flags(F.col("task"), F.col("s"), F.col("t"), F.col("m"))).collect())
+    assert got == {c[0]: c[5] for c in cases}
+
+
+def test_hot_content_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT", 20)
+    rows = [(f"d{i:03}", "same" if i % 3 == 0 else f"text {i % 50}", "a", i / 100) for i in range(150)] + [("null", None, "a", 1.0)]
+    t = spark.createDataFrame(rows, "doc_id string, text string, source string, quality_prior double")
+    best = {}
+    for d, x, _, q in rows:
+        if x is not None:
+            best[x] = min(best.get(x, (9, "")), (-q, d))
+    want = {d: best[x][1] for d, x, _, _ in rows if x is not None}
+    assert {r.doc_id: r.kept_doc_id for r in dedup.exact_representatives(t, F.lit(0)).collect()} == want
+    gone = {r.doc_id for r in dedup.rounds_removals([t.where("doc_id < 'd070'"), t.where("doc_id >= 'd070'").withColumn("extra", F.lit(1))], F.lit(0)).collect()}
+    assert gone == {d for d, k in want.items() if d != k}
+    y = spark.createDataFrame([("a", "x y z w v u t s r q", "en"), ("b", "x y z w v u t s r q", "en"), ("c", "x y z w v u t s r q", "zh"), ("d", "x y", None)], "doc_id string, text string, profile string")
+    got = dict(dedup.near_clusters(y, ("zh",)).collect())
+    assert got["a"] == got["b"] == "a" and got["c"] == "c" and got["d"] == "d"
+
+
+def test_greedy_ties_do_not_follow_partitions(spark):
+    rows = [(f"r{i}", "g", f"a{i % 3}", f"b{i % 4}", 1) for i in range(12)]
+    one = spark.createDataFrame(rows, "id string, g string, a string, b string, o int")
+    takes = {tuple(sorted(r.id for r in dedup.two_key_greedy(x, "g", "a", "b", ["o"]).collect())) for x in (one.repartition(1), one.repartition(5), spark.createDataFrame(rows[::-1], one.schema))}
+    assert len(takes) == 1
+
+
+def test_normalisation_is_done_once(spark, tmp_path):
+    raw = ["a \u3000\r\nb\u200b\x00 ", "é\u0301 x\t\n\n", "", None, "\u2003\nplain\r"]
+    t = spark.createDataFrame([(x,) for x in raw], "text string")
+    want = [r[0] or "" for r in t.select(T.normalize_text(F.col("text"))).collect()]
+    assert [r[0] for r in clean.normalized(t).collect()] == want
+    t = spark.createDataFrame([("a", "字" * 30, "hanweb_hq", "x", "MIT", "zh", "general")], "doc_id string, text string, source string, source_path string, license string, language string, domain string")
+    plan = clean.clean_and_tag(t, {"hanweb_hq": "curated_zh"}).where("reject_reason is null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_long_texts_are_found_without_copies(spark):
+    long = "".join(chr(0x4E00 + (i * 7919) % 20000) for i in range(100_000))
+    texts = spark.createDataFrame([("long", long), ("none", "短文"), ("null", None)], "row_id string, text string")
+    items = spark.createDataFrame([(1, long[40_000:40_100]), (2, long[99_950:]), (3, long[5:30] + "不"), (4, None)], "item_id int, text string")
+    assert {tuple(r) for r in decontaminate.contained_passages(texts, items).collect()} == {("long", 1), ("long", 2)}
+    where = decontaminate.locate(spark.createDataFrame([("p", long[7:90]), ("q", long[500:503]), ("r", "短")], "row_id string, text string"), texts.withColumnRenamed("row_id", "chapter_id"))
+    assert {tuple(r) for r in where.collect()} >= {("p", "long"), ("q", "long")} and where.where("row_id = 'r'").isEmpty()
+
+
+def test_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://far:7077"
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    return self
+
+                def isDefined(self):
+                    return False
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session)

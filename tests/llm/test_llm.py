@@ -184,6 +184,18 @@ def test_hot_look_stays_linear(spark):
     assert len(got) < 10_000 and {x for p in got for x in p} == {r[1] for r in rows}
 
 
+def test_looks_of_many_strings(spark):
+    rows = [("t", f"{i:03}", "twelve" + "\u200b" * i) for i in range(12)] + [("t", f"a{i:03}{c}", "twice" + "\u200b" * i) for i in range(12) for c in "xy"]
+    rows += [("u", f"{i:03}", "blocks" + "\u200b" * i) for i in range(lookalike.BLOCK + 44)] + [("v", f"{i:04}", "copies" + "\u200b" * (i % 12)) for i in range(12 * 40)]
+    got = [tuple(r) for r in lookalike.look_pairs(spark.createDataFrame(rows, "src_table string, row_id string, text string")).collect()]
+    want = {(s, x, y) for (s, x, a), (t, y, b) in itertools.combinations(sorted(rows), 2) if s == t and s != "v" and a != b and a.rstrip("\u200b") == b.rstrip("\u200b")}
+    text = {r[:2]: r[2] for r in rows}
+    assert len(got) == len(set(got)) and {p for p in got if p[0] != "v"} == want
+    copies = [p for p in got if p[0] == "v"]  # 40 x 40 members: the strings are paired each with each, copies linked
+    assert {tuple(sorted((text["v", x], text["v", y]))) for _, x, y in copies} == set(itertools.combinations(sorted({r[2] for r in rows if r[0] == "v"}), 2))
+    assert {x for _, *p in copies for x in p} == {r[1] for r in rows if r[0] == "v"} and len(copies) < 12 * 40 + 66
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -425,6 +437,28 @@ def test_mixing(spark):
 # ---------------------------------------------------------------- 9
 
 
+def test_pursuit_is_exact_and_explains_mixtures():
+    r, p = np.random.default_rng(2), subjects.Params()
+    a = r.standard_normal((300, 64)).astype(np.float32)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    x = np.concatenate([a[:50] + 0.3 * r.standard_normal((50, 64)) / 8, 0.7 * a[:50] + 0.4 * a[100:150]]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at, w = subjects.pursue(x, np.full(len(x), -1), a, a @ a.T, p)
+    c = x @ a.T
+    assert (at[:, 0] == c.argmax(1)).all() and np.allclose(w[:, 0], c.max(1), atol=1e-5)
+    assert np.mean([{i, 100 + i} <= set(at[50 + i, :2].tolist()) for i in range(50)]) > 0.9
+    own, _ = subjects.pursue(a[:5], np.arange(5), a, a @ a.T, p)
+    assert all(i not in own[i] for i in range(5))
+
+
+def test_without_a_graph_no_document_has_a_subject(spark):
+    docs = [(i, f"the match of team {i} and the coach of the league. the goal of the stadium number {i}.") for i in range(40)]
+    d, s = df(spark, docs, "doc_id long, text string"), df(spark, [("sport", "")], "subject string, about string")
+    seeds = df(spark, [(i, "sport") for i in range(10)], "doc_id long, subject string")
+    p = dict(rare=0.0, common=1.0, evidence=-1.0)
+    assert subjects.document_subjects(d, seeds, s, subjects.Params(**p, anchors=1, links=1, rounds=0)).where("doc_id >= 10").isEmpty()
+
+
 def test_subjects_on_held_out_labels(spark):
     words = {"sport": "match team coach goal league stadium referee sprint".split(), "law": "court judge plaintiff statute appeal verdict lawyer contract".split(), "music": "chord tempo violin opera rhythm melody choir sonata".split()}
     filler = "window garden morning street letter kitchen basket visitor harbour weather".split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import load_version, materialize, save_version
 
 
 def _flatten(parent: DataFrame) -> DataFrame:
@@ -44,9 +44,19 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return forest, rounds
 
 
-def component_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the component of every node that an edge names; the root is one of its nodes."""
-    _, rounds = spanning_forest(edges)
+def component_roots(edges: DataFrame, path: str | None = None) -> DataFrame:
+    """(node, root): the component of every node that an edge names; the root is one of its nodes.
+
+    With a ``path`` the spanning forest is kept there: the edges of the forest kept last count beside ``edges``,
+    and the forest of both becomes the next version. A delivery of new edges so joins the components of all
+    earlier ones without reading their edges again.
+    """
+    if path:
+        kept = load_version(edges.sparkSession, path, ["forest"])
+        edges = edges.select("u", "v").unionByName(kept["forest"].select("u", "v")) if kept else edges
+    forest, rounds = spanning_forest(edges)
+    if path:
+        save_version({"forest": forest}, path)
     if not rounds:
         return edges.select(F.col("u").alias("node"), F.col("u").alias("root")).where("node is not null").distinct()
     nodes = rounds[0]

@@ -104,3 +104,29 @@ def small(df: DataFrame) -> DataFrame:
     """A table written once, so that its size is measured and not estimated, and broadcast if it is small."""
     written = materialize(df, "index")
     return functions.broadcast(written) if row_bytes(written) <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS else written
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], object, object]:
+    """(complete versions below a path, its file system, the JVM's Path)."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = make(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(make(f"{path}/{n}/_READY"))), fs, make
+
+
+def save_version(tables: dict[str, DataFrame], path: str) -> int:
+    """Write tables as the next version below ``path``, on any file system; it counts only once all of it is written."""
+    spark = next(iter(tables.values())).sparkSession
+    known, fs, make = _versions(spark, path)
+    n = (known[-1] if known else 0) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/v{n:06}/{name}")
+    fs.create(make(f"{path}/v{n:06}/_READY"), True).close()
+    return n
+
+
+def load_version(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame] | None:
+    """The tables of the last complete version below ``path``; None where there is none."""
+    known, _, _ = _versions(spark, path)
+    return {name: spark.read.parquet(f"{path}/v{known[-1]:06}/{name}") for name in names} if known else None

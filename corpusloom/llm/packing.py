@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
@@ -19,10 +19,10 @@ from corpusloom.session import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities besides tokens: documents per container (one per ``tokens_per_doc`` tokens, at least 8) and attention cost as a share of capacity squared; weights of the residuals; items per block."""
+    """Capacities besides tokens: documents per container (one per ``tokens_per_doc`` tokens, at least 8) and attention cost as a share of capacity squared (a document that alone costs more has a container to itself); weights of the residuals; items per block."""
 
     tokens_per_doc: int = 32
-    attention: float = 1.0
+    attention: float = 0.9
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02)
     block: int = 4096
 
@@ -71,8 +71,10 @@ def pack(items: DataFrame, kinds: DataFrame, limits: Limits | None = None) -> Da
         raise ValueError("more than 1000 kinds of container")
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for a, c in kind_rows))) if kind_rows else F.explode(F.array().cast("array<struct<container_kind:string,capacity:bigint>>"))
     x = items.select("doc_id", "tokens", each.alias("k")).select("doc_id", "tokens", "k.*").withColumn("full", F.floor(F.col("tokens") / F.col("capacity")))
-    whole = x.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
-    own = F.concat_ws("-", F.col("container_kind"), F.lit("d"), F.col("doc_id").cast("string"), F.col("piece").cast("string"))
+    # a document that comes again has containers of its own
+    again = F.row_number().over(Window.partitionBy("container_kind", "doc_id").orderBy("tokens"))
+    whole = x.where("full > 0").withColumn("again", again).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
+    own = F.concat_ws("-", F.col("container_kind"), F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("again") > 1, F.concat(F.lit("x"), F.col("again").cast("string"))), F.col("piece").cast("string"))
     whole = whole.select("container_kind", own.alias("container_id"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"))
     rest = x.select("container_kind", "capacity", "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("first_token"), (F.col("tokens") - F.col("full") * F.col("capacity")).alias("tokens")).where("tokens > 0")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
@@ -87,9 +89,15 @@ def pack(items: DataFrame, kinds: DataFrame, limits: Limits | None = None) -> Da
     return whole.unionByName(rest.groupBy("container_kind", "block").applyInPandas(fill, shape))
 
 
-def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(container_kind, containers, pieces, tokens, capacity_tokens, fill): how full the containers are."""
-    own = packed.groupBy("container_kind", "container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
-    g = own.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
+def fill_report(packed: DataFrame, kinds: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """(container_kind, containers, pieces, tokens, capacity_tokens, most, most_pieces, over, fill): how full the containers are.
+
+    ``over`` counts the containers that break a limit of ``limits``: tokens, documents, or attention cost with more than one piece.
+    """
+    limits = limits or Limits()
+    sized = kinds.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
+    own = packed.join(sized, "container_kind").groupBy("container_kind", "container_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.first("c").alias("c"), F.sum(F.pow(F.col("tokens") / F.col("c"), F.lit(2.0))).alias("cost"))
+    over = (F.col("tokens") > F.col("c")) | (F.col("pieces") > F.greatest(F.lit(8), F.floor(F.col("c") / limits.tokens_per_doc))) | ((F.col("pieces") > 1) & (F.col("cost") > limits.attention + 1e-6))
+    g = own.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"), F.max("pieces").alias("most_pieces"), F.count_if(over).alias("over"))
     k = kinds.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    return g.join(k, "container_kind").select("container_kind", "containers", "pieces", "tokens", "capacity_tokens", "most", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+    return g.join(k, "container_kind").select("container_kind", "containers", "pieces", "tokens", "capacity_tokens", "most", "most_pieces", "over", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))

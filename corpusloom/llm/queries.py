@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import crosssplit, leakage, lookalike, mixing, packing, quality, splits, subjects, tokens
-from corpusloom.session import materialize, table
+from corpusloom.session import materialize, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +86,14 @@ def p5_incremental_cube(spark: SparkSession, d: str) -> DataFrame:
     return tokens.rollup(tokens.update(docs, early).cube)
 
 
+def p5_removed_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Totals after documents were removed: everything is counted and kept, then what was loaded before July 2024 is gone."""
+    docs, path = table(spark, d, "adapted_record"), f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    tokens.save(tokens.update(docs, tokens.load(spark, path)), path)
+    tokens.save(tokens.update(docs.where("loaded_at >= timestamp'2024-07-01 00:00:00'"), tokens.load(spark, path)), path)
+    return tokens.rollup(tokens.load(spark, path).cube)
+
+
 SHARES = {"train": 0.9, "dev": 0.05, "test": 0.05}
 
 
@@ -96,6 +105,10 @@ def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "eligible"), SHARES)
 
 
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.share_report(materialize(splits.assign(table(spark, d, "eligible"), SHARES), "assigned"), SHARES)
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "containers"))
 

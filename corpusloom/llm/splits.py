@@ -17,16 +17,16 @@ from corpusloom.operators.prefix import prefix_sum
 from corpusloom.session import materialize
 
 
-def tied(records: DataFrame) -> DataFrame:
+def tied(records: DataFrame, path: str | None = None) -> DataFrame:
     """(id, split, root): the set of tied records that each record of ``records (id, book, doc, split)`` belongs to.
 
-    A record that names neither book nor doc is a set of its own. Records repeated under one id count once (the
+    With a ``path`` the spanning forest over books and docs is kept there and earlier deliveries' ties count. A record that names neither book nor doc is a set of its own. Records repeated under one id count once (the
     least of each value); rows without an id are left out.
     """
     r = records.where("id is not null").groupBy("id").agg(F.min("split").alias("split"), F.min("book").alias("book"), F.min("doc").alias("doc"))
     r = r.select("id", "split", F.md5(F.concat(F.lit("b:"), book_key(F.col("book")))).alias("b"), F.md5(F.concat(F.lit("d:"), doc_key(F.col("doc")))).alias("d"))
     r = materialize(r, "records")
-    roots = component_roots(r.where("b is not null and d is not null").select(F.col("b").alias("u"), F.col("d").alias("v")).distinct())
+    roots = component_roots(r.where("b is not null and d is not null").select(F.col("b").alias("u"), F.col("d").alias("v")).distinct(), path)
     by = F.coalesce("b", "d", F.concat(F.lit("r:"), F.col("id")))
     return materialize(r.withColumn("node", by).join(roots, "node", "left").select("id", "split", F.coalesce("root", "node").alias("root")), "tied")
 
@@ -38,14 +38,14 @@ def torn(records: DataFrame) -> DataFrame:
     return t.join(mixed, "root", "left_semi").select("id")
 
 
-def assign(records: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+def assign(records: DataFrame, shares: dict[str, float], seed: int = 0, path: str | None = None) -> DataFrame:
     """(id, root, split, new_split, torn): splits in the proportions ``shares`` that keep tied records together.
 
     Sets of tied records larger than the smaller splits' whole size go to the largest split; the others are
     stratified by size band (powers of two) and dealt systematically within a band: split s takes a set whenever
     the running size, scaled by its rate and shifted by a random offset, crosses an integer.
     """
-    t = tied(records)
+    t = tied(records, path)
     sets = materialize(t.groupBy("root").agg(F.count("*").alias("n"), (F.min("split") != F.max("split")).alias("torn")), "sets")
     names = sorted(shares, key=lambda s: (-shares[s], s))
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -68,3 +68,13 @@ def assign(records: DataFrame, shares: dict[str, float], seed: int = 0) -> DataF
         begin += rate
     chosen = dealt.select("root", "torn", choice.alias("new_split")).unionByName(sets.where(F.col("n") > most).select("root", "torn", F.lit(names[0]).alias("new_split")))
     return t.join(chosen, "root").select("id", "root", "split", "new_split", F.coalesce("torn", F.lit(False)).alias("torn"))
+
+
+def share_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(new_split, records, sets, share, target, torn_sets): the achieved proportions; no set of tied records is in two splits (torn_sets 0)."""
+    homes = assigned.groupBy("root").agg(F.count_distinct("new_split").alias("homes"))
+    whole = assigned.agg(F.count("*").alias("whole"))
+    x = assigned.join(homes, "root").groupBy("new_split").agg(F.count("*").alias("records"), F.count_distinct("root").alias("sets"), F.count_distinct(F.when(F.col("homes") > 1, F.col("root"))).alias("torn_sets"))
+    target = F.create_map(*(y for s, w in shares.items() for y in (F.lit(s), F.lit(w / sum(shares.values())))))
+    n = whole.first()[0]
+    return x.select("new_split", "records", "sets", (F.col("records") / F.lit(max(1, n))).alias("share"), target[F.col("new_split")].alias("target"), "torn_sets")

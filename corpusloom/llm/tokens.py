@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._sums import hash_filter, holds
-from corpusloom.session import materialize
+from corpusloom.session import load_version, materialize, save_version
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the split pattern of the byte-level vocabularies.
@@ -29,15 +29,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 50_000
 
 
+def tokenizer_path(spark: SparkSession, path: str | None) -> str:
+    """The tokenizer's file: as given, else as the session's spark.corpusloom.tokenizer names it, else TOKENIZER."""
+    return path or spark.conf.get("spark.corpusloom.tokenizer", TOKENIZER)
+
+
 def tokenizer_hash(path: str = TOKENIZER) -> str:
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+    """Names a tokenizer by its vocabulary and split pattern."""
+    return hashlib.sha256(Path(path).read_bytes() + PATTERN.encode()).hexdigest()[:16]
 
 
 class Counter:
     """Counts tokens of texts; the vocabulary travels with the code, so workers need no file."""
 
-    def __init__(self, spark: SparkSession, path: str = TOKENIZER):
-        raw = Path(path).read_bytes()
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        raw = Path(tokenizer_path(spark, path)).read_bytes()
         self.held = spark.sparkContext.broadcast(raw)
 
     def __call__(self, text: str) -> int:
@@ -50,7 +56,7 @@ class Counter:
         return {"held": self.held}
 
 
-def count_tokens(df: DataFrame, keys: list[str], path: str = TOKENIZER) -> DataFrame:
+def count_tokens(df: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
     """(keys, tokens) for every row of ``df`` (keys, text); null and empty texts have 0 tokens. No shuffle."""
     counter = Counter(df.sparkSession, path)
 
@@ -138,13 +144,25 @@ def _content_hash(text: Column) -> Column:
     return F.xxhash64(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def update(docs: DataFrame, ledger: Ledger, path: str = TOKENIZER) -> Ledger:
+def save(ledger: Ledger, path: str) -> int:
+    """Keep a ledger as the next version below ``path``, a folder that outlives the session."""
+    return save_version({"counts": ledger.counts, "members": ledger.members, "cube": ledger.cube}, path)
+
+
+def load(spark: SparkSession, path: str) -> Ledger:
+    """The ledger kept last below ``path``; an empty one where there is none."""
+    kept = load_version(spark, path, ["counts", "members", "cube"])
+    return Ledger(**kept) if kept else empty_ledger(spark)
+
+
+def update(docs: DataFrame, ledger: Ledger, path: str | None = None) -> Ledger:
     """The ledger after ``docs (doc_id, text, source, language, domain, loaded_at)`` has become the whole corpus.
 
     Contents without a count under this tokenizer are encoded, each distinct content once per worker at most;
     documents that are gone, changed or relabelled are taken out of the cube by negative deltas. Rows repeated
     under one doc_id count once; null and empty texts have 0 tokens; rows without a doc_id are left out.
     """
+    path = tokenizer_path(docs.sparkSession, path)
     name = tokenizer_hash(path)
     now = materialize(records(docs), "members")
     counted = ledger.counts.where(F.col("tokenizer") == name)

@@ -333,6 +333,22 @@ def test_ledger(spark):
     assert {r.k: r.tokens for r in x.collect()} == {1: count("hello"), 2: 0, 3: 0, 4: count("字" * 30_000)}
 
 
+def test_kept_ledger_encodes_only_new_texts(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    shape, t = "doc_id string, text string, source string, language string, domain string, loaded_at timestamp", dt.datetime(2024, 1, 1)
+    rows = [(c, f"text number {c}", "s", "en", "x", t) for c in "abcd"]
+    path = str(tmp_path / "ledger")
+    tokens.save(tokens.update(df(spark, rows, shape), tokens.load(spark, path)), path)
+    kept = tokens.load(spark, path)
+    later = df(spark, [*rows[1:], ("e", "something new", "s", "en", "x", t)], shape)
+    two = tokens.update(later, kept)
+    assert two.counts.count() == kept.counts.count() + 1
+    assert tokens.save(two, path) == 2
+    fresh = tokens.update(later, tokens.empty_ledger(spark))
+    assert sorted(map(tuple, tokens.load(spark, path).cube.collect())) == sorted(map(tuple, fresh.cube.collect()))
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -374,6 +390,19 @@ def test_torn_and_assigned(spark):
     assert splits.torn(empty).count() == 0 and splits.assign(empty, {"train": 0.9, "dev": 0.1}).count() == 0
 
 
+def test_kept_forest_ties_later_deliveries(spark, tmp_path):
+    shape, path = "id string, book string, doc string, split string", str(tmp_path / "forest")
+    splits.tied(df(spark, [("1", "甲", "g1", None), ("2", "乙", "g1", None)], shape), path)
+    got = {r.id: r.root for r in splits.tied(df(spark, [("3", "甲", None, None), ("4", "乙", "g2", None), ("5", None, "g2", None), ("6", "丙", "g3", None)], shape), path).collect()}
+    assert got["3"] == got["4"] == got["5"] != got["6"]
+
+
+def test_share_report(spark):
+    rows = [(f"r{i}", f"book{i // 3}", None, "train") for i in range(3000)]
+    rep = {r.new_split: r for r in splits.share_report(splits.assign(df(spark, rows, "id string, book string, doc string, split string"), {"train": 0.8, "dev": 0.1, "test": 0.1}), {"train": 0.8, "dev": 0.1, "test": 0.1}).collect()}
+    assert sum(r.records for r in rep.values()) == 3000 and sum(r.sets for r in rep.values()) == 1000 and all(abs(r.share - r.target) < 0.02 and r.torn_sets == 0 for r in rep.values())
+
+
 def test_proportions(spark):
     rows = [(f"r{i}", f"book{i // 3}", None, "train") for i in range(6000)]
     got = splits.assign(df(spark, rows, "id string, book string, doc string, split string"), {"train": 0.9, "dev": 0.05, "test": 0.05}).groupBy("new_split").count().collect()
@@ -404,6 +433,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(df(spark, [], "doc_id long, tokens long"), kinds).count() == 0
 
 
+def test_attention_binds_and_long_repeats_stay_apart(spark):
+    r = random.Random(7)
+    kinds = df(spark, [("s", 512)], "container_kind string, capacity_tokens int")
+    items = df(spark, [(i, r.randrange(20, 500)) for i in range(2000)] + [(9999, 1200), (9999, 1200)], "doc_id long, tokens long")
+    got = packing.pack(items, kinds)
+    assert packing.fill_report(got, kinds).first().over == 0
+    free = packing.fill_report(packing.pack(items, kinds, packing.Limits(attention=9.0)), kinds).first()
+    assert free.over > 0  # without the limit some containers cost more
+
+
 def test_best_fit_respects_every_limit():
     limits = packing.Limits(attention=0.5)
     sizes = np.array([300, 300, 200, 100, 100, 50, 512])
@@ -491,6 +530,10 @@ def test_subjects_on_held_out_labels(spark):
 # ---------------------------------------------------------------- registered queries
 
 
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"p4_found", "p4_members", "p4_passages", "p4_split_report"}
+
+
 def test_registered_queries_run(spark):
     from pathlib import Path
 
@@ -500,4 +543,5 @@ def test_registered_queries_run(spark):
     if not d.exists():
         pytest.skip("no test tables")
     for name, f in q.queries().items():
-        assert f(spark, str(d)).count() >= 0, name
+        got = f(spark, str(d))
+        assert got.columns and (got.count() > 0 or name in MAY_BE_EMPTY), name

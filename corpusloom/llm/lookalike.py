@@ -30,7 +30,7 @@ from corpusloom.session import materialize
 #: Spellings up to this many travel to the workers with the code; more are joined (``normalize``).
 BROADCAST_WORDS = 200_000
 #: Words per trie; a shard is chosen by the hash of the base form, so no shard grows with the data.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 2_000
 WORD = regex.compile(r"(?V1)[[\p{L}\p{M}\p{N}\p{Cf}͏︀-️]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+")
 ASCII_WORD = regex.compile(r"[A-Za-z0-9]+")
 
@@ -221,7 +221,8 @@ def canonical_spellings(vocab: DataFrame) -> DataFrame:
                 out[word] = best
         return pd.DataFrame({"spelling": list(out), "canonical": list(out.values())}, dtype=object)
 
-    return vocab.withColumn("shard", F.pmod(F.xxhash64("base"), F.lit(shards))).groupBy("shard").applyInPandas(choose, "spelling string, canonical string")
+    tasks = min(shards, max(4 * vocab.sparkSession.sparkContext.defaultParallelism, shards // 64))  # few bytes, much work: not to be merged into few tasks
+    return vocab.withColumn("shard", F.pmod(F.xxhash64("base"), F.lit(shards))).repartition(tasks, "shard").groupBy("shard").applyInPandas(choose, "spelling string, canonical string")
 
 
 # ---------------------------------------------------------------- normalisation

@@ -527,6 +527,48 @@ def test_subjects_on_held_out_labels(spark):
     assert none.count() == 0
 
 
+def test_every_document_takes_part_in_the_graph(spark):
+    words = ["".join(chr(97 + g // 26**i % 26) for i in range(3)) for g in range(900)]
+    docs = [(3 * g + j, f"{w}x {w}y {w}z. " * 3 + f"{w}x {w}y. " * j) for g, w in enumerate(words) for j in range(3)]
+    labels = [(3 * g, f"s{g % 9}") for g in range(900)]
+    got = subjects.document_subjects(df(spark, docs, "doc_id long, text string"), df(spark, labels, "doc_id long, subject string"), df(spark, [(f"s{i}", "") for i in range(9)], "subject string, about string"), subjects.Params(rare=0.0))
+    assert {(x.doc_id, x.subject) for x in got.collect()} == {(i, f"s{i // 3 % 9}") for i, _ in docs}  # more documents than any sample of anchors held
+
+
+def test_shares_spread_over_all_pairs(spark):
+    r, n, k, m = np.random.default_rng(3), 60, 3, 25
+    v = np.where(r.random((n, m)) < 0.2, r.random((n, m)), 0).astype("<f4")
+    own = np.zeros((n, k))
+    own[np.arange(15), np.arange(15) % k] = 1
+    p = subjects.Params(rounds=4)
+    rows = [(np.flatnonzero(x).astype("<i4").tobytes(), x[x > 0].tobytes(), o.tolist() if o.any() else None) for x, o in zip(v, own, strict=True)]
+    graph = df(spark, rows, "terms binary, parts binary, own array<double>")
+    places = np.zeros(1 << subjects.TERM_BITS, np.int32)
+    places[:m] = np.arange(m)
+    last, half = subjects.propagate(graph, places, k, p)
+
+    def step(now, fixed):
+        out = np.zeros((n, k))
+        for i in range(n):
+            w = v.astype(float) * (now.sum(1) > 0)[:, None]
+            if fixed[i].any():
+                w[i] = 0  # no seed is linked to itself
+            walk = v[i] * w / np.maximum(w.sum(0), 1e-12)
+            out[i] = walk.sum(1) @ now
+        out = (out / np.maximum(out.sum(1, keepdims=True), 1e-12)) ** p.power
+        return out / np.maximum(out.sum(1, keepdims=True), 1e-12)
+
+    fixed, got = own, np.zeros((n, k))
+    for i in range(p.rounds):
+        if i == 2:
+            fixed = np.where(((got.sum(1) > 0.5) & ((got * (own > 0)).sum(1) < 0.1))[:, None], 0, own)
+        now = np.where(fixed.sum(1, keepdims=True) > 0, fixed, got)
+        got = step(now, fixed)
+    row, at = np.nonzero(v)
+    links = row, at, v[row, at].astype(float)
+    assert np.array_equal(subjects.trusted(links, own, half, p), fixed) and np.allclose(subjects.near(links, fixed, last, p), got, atol=1e-9)
+
+
 # ---------------------------------------------------------------- registered queries
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SKETCH_BITS = 20
 HOT = 4096
 FULL_PAIRS = 1000
 STRING = re.compile(r'"(ancient|content)"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+#: Halves of characters, as a cut inside an escaped pair leaves them; Arrow holds none.
+HALVES = re.compile("[\ud800-\udfff]")
 
 
 def passages(payload: str, whole: bool) -> list[str]:
@@ -58,7 +61,11 @@ def _unescape(raw: str) -> str:
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return _text.letters(pa.array(texts, pa.string()))
+    try:
+        column = pa.array(texts, pa.string())
+    except UnicodeEncodeError:
+        column = pa.array([HALVES.sub("", x) for x in texts], pa.string())
+    return _text.letters(column)
 
 
 def _ids(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -68,11 +75,12 @@ def _ids(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, letters, offsets) of the different passages of each record, some rows at a time."""
-    side = batch.column("evaluation").to_pylist()
-    for first, part in _text.batches(batch.column("payload")):
+    side, payload, prompt = (batch.column(c) for c in ("evaluation", "payload", "prompt"))
+    sizes = sum(np.asarray(pc.binary_length(c).fill_null(0)) for c in (payload, prompt))
+    for first, end in _text.slices(sizes, 1 << 18):
         rows, texts = [], []
-        for i, p in enumerate(part.to_pylist()):
-            own = dict.fromkeys(passages(p, not side[first + i]))
+        for i, (s, p, q) in enumerate(zip(*(c.slice(first, end - first).to_pylist() for c in (side, payload, prompt)), strict=True)):
+            own = dict.fromkeys(passages(p, not s) + [q] * bool(q and not s))
             rows += [first + i] * len(own)
             texts += own
         points, ends = _letters(texts)
@@ -192,9 +200,10 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def passage_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs (epid, tpid), members (pid, evaluation, row_id)) of ``records (row_id, evaluation, payload)``."""
+    """(pairs (epid, tpid), members (pid, evaluation, row_id)) of ``records (row_id, evaluation, payload)`` and, if they have it, ``prompt``."""
     sc = records.sparkSession.sparkContext
-    records = records.select("row_id", "evaluation", "payload").where("payload is not null and evaluation is not null")
+    prompt = F.col("prompt") if "prompt" in records.columns else F.lit(None).cast("string").alias("prompt")
+    records = records.select("row_id", "evaluation", "payload", prompt).where("evaluation is not null and (payload is not null or (prompt is not null and not evaluation))")
     ev, tr = records.where("evaluation"), records.where("not evaluation")
     sketch = sc.broadcast(shingle_sketch(records))
     index = materialize(ev.mapInArrow(_index(sketch), "h bigint, part int, epid bigint, epos int, elen int, need int").distinct(), "index")
@@ -219,7 +228,9 @@ def passage_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def overlaps(records: DataFrame) -> DataFrame:
     """(eval_id, train_id): evaluation records whose passage recurs in a training record.
 
-    ``records``: row_id, evaluation (true: dev or test; false: training; null: neither), payload (JSON). At least
+    ``records``: row_id, evaluation (true: dev or test; false: training; null: neither), payload (JSON) and, where the
+    table has one, prompt: a message of a training record that stands outside its payload, so it is whole also where
+    the payload is null or cut off. At least
     three quarters of the letters and digits of the evaluation record's ``ancient`` must recur in order and in one
     place in the ``ancient`` passage or one message of the training record. Passages of fewer than seven letters
     have no pairs; null payloads and payloads without passages have none; JSON that is cut off counts with what it

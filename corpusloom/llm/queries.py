@@ -50,10 +50,10 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_records(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, src_table, evaluation, split, source, payload): eligible with its present split, and the pool, which is training data."""
+    """(row_id, src_table, evaluation, split, source, payload, prompt): eligible with its present split, and the pool, which is training data."""
     split = "lower(trim(split))"
-    a = table(spark, d, "eligible").selectExpr("id AS row_id", "'eligible' AS src_table", f"CASE WHEN {split} IN ('dev', 'test') THEN true WHEN {split} = 'train' THEN false END AS evaluation", "split", "source", "payload")
-    b = table(spark, d, "pool").selectExpr("pool_id AS row_id", "'pool' AS src_table", "false AS evaluation", "'train' AS split", "family AS source", "payload")
+    a = table(spark, d, "eligible").selectExpr("id AS row_id", "'eligible' AS src_table", f"CASE WHEN {split} IN ('dev', 'test') THEN true WHEN {split} = 'train' THEN false END AS evaluation", "split", "source", "payload", "CAST(NULL AS STRING) AS prompt")
+    b = table(spark, d, "pool").selectExpr("pool_id AS row_id", "'pool' AS src_table", "false AS evaluation", "'train' AS split", "family AS source", "payload", "prompt")
     return a.unionByName(b)
 
 

@@ -308,6 +308,25 @@ def test_cut_json_keeps_its_passages():
     assert crosssplit.passages('{"ancient": "x", "messages": 3}', True) in (["x"], ["x", ]) and crosssplit.passages("", True) == []
 
 
+def test_overlaps_in_a_prompt_whose_payload_is_cut(spark):
+    import json
+
+    from corpusloom.llm import queries as q
+
+    a, b = han(60, 50), han(60, 51)
+    tables = {
+        "eligible": df(spark, [("e1", "dev", "s", json.dumps({"ancient": a})), ("e2", "test", "s", json.dumps({"ancient": b}))], "id string, split string, source string, payload string"),
+        "pool": df(spark, [("t1", "译：" + a, "f", json.dumps({"messages": [{"role": "user", "content": "译：" + a}]})[:90]), ("t2", b, "f", None), ("t3", None, "f", None), ("t4", "x", "f", json.dumps({"messages": [{"role": "user", "content": a + "😀"}]})[:-10])], "pool_id string, prompt string, family string, payload string"),
+    }
+    assert tables["pool"].where("pool_id = 't4' and endswith(payload, 'ud83d')").count() == 1  # cut inside a pair
+    old, q.table = q.table, lambda spark, d, name: tables[name]
+    try:
+        got = [tuple(r) for r in q.p4_found(spark, "").collect()]
+    finally:
+        q.table = old
+    assert sorted(got) == [("e1", "t1"), ("e1", "t4"), ("e2", "t2")]
+
+
 # ---------------------------------------------------------------- 5
 
 
